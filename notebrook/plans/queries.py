@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from notebrook.plans import ingest
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _module in (ingest,):
+    QUERIES |= _module.QUERIES
+    ORACLE_SQL |= _module.ORACLE_SQL

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,3 +35,10 @@ def latest(df: DataFrame, keys: list[str], version: str) -> DataFrame:
 def ordered(*cols):
     """Window over one notebook in cell order."""
     return Window.partitionBy(cols[0]).orderBy(*cols[1:])
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The frame, written to and read from the shared folder: cuts the lineage and survives the loss of executors."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
