@@ -5,15 +5,22 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from notebrook.llm import syntax, tokenize
+from notebrook.llm import leaks, overlap, syntax, tokenize
 from notebrook.session import table
 
 #: Folder of the public tokenizers' files.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.found_pairs(table(spark, d, "notebooksegments"))
+
+
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlap_report(table(spark, d, "notebooksegments"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return syntax.invalid_notebooks(table(spark, d, "cell"), table(spark, d, "notebook"))
 
@@ -30,5 +37,13 @@ def p6_tokens_per_source(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.corpus_tokens(table(spark, d, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_rates, p6_ids, p6_tokens_per_source)}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked(table(spark, d, "documents"), table(spark, d, "eval_items")).select("item_id", "doc_id")
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leak_report(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p7_found, p7_report, p5_found, p5_rates, p6_ids, p6_tokens_per_source)}
 ORACLE_SQL: dict[str, str] = {}

@@ -140,7 +140,7 @@ def encode_texts(texts: list[str], encoder: TrieEncoder) -> list[list[int]]:
 
 def encode_corpus(documents: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The id column and ``ids array<int>`` of every row; vocabulary is the path of a rank file that all executors see."""
-    schema = documents.select(id_column).schema.add("ids", "array<int>")
+    schema = f"{id_column} {dict(documents.dtypes)[id_column]}, ids array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary)
