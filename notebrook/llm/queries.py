@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notebrook.llm import leaks, overlap, syntax, tokenize
+from notebrook.llm import encoding, leaks, overlap, syntax, tokenize
 from notebrook.session import table
 
 #: Folder of the public tokenizers' files.
@@ -45,5 +45,13 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leak_report(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p7_found, p7_report, p5_found, p5_rates, p6_ids, p6_tokens_per_source)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.garbled_documents(table(spark, d, "documents"))
+
+
+def p8_restored(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.repaired(table(spark, d, "documents")).where("garbled").drop("garbled")
+
+
+QUERIES = {f.__name__: f for f in (p8_found, p8_restored, p1_found, p1_report, p7_found, p7_report, p5_found, p5_rates, p6_ids, p6_tokens_per_source)}
 ORACLE_SQL: dict[str, str] = {}
