@@ -306,7 +306,9 @@ def best_inversion(run: str, before: str, after: str, model: PairModel) -> tuple
         k = classes(before + decoded + after)
         gain = model.likelihood(k) - base - (MARGIN_UTF8 if right == "utf-8" else MARGIN_OTHER)
         if gain > most and model.unseen(k) > (0.5 if right == "utf-8" else 0.1):
-            continue
+            # text garbled twice decodes to pairs that the corpus has not seen, but to several characters at a place
+            if right != "utf-8" or sum(c > "\x7f" for c in decoded) <= len(_HIGH.findall(run)):
+                continue
         if gain > most + (2.0 if best else 0.0):  # mappings come in order of how common they are
             best, most = (wrong, right, decoded), gain
         if right == "utf-8" and best and best[1] == "utf-8" and len(run) > 3:
