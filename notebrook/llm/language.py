@@ -147,6 +147,9 @@ class LanguageField:
 
     # ---- labelling
 
+    def emissions(self, ids: np.ndarray) -> np.ndarray:
+        return self._emissions[ids]
+
     def word_ids(self, words: list[str]) -> list[int]:
         ids = self._ids
         if len(ids) > 300_000:
@@ -227,7 +230,10 @@ def labelled_sample(cells: DataFrame) -> list[tuple[str, list[str]]]:
         .select("_id", "content", canonical_column(F.col("lang")).alias("l"))
         .where("l is not null")
     )
-    return [(r["l"], r["content"]) for r in named.orderBy(F.xxhash64("_id"), "_id", "l").limit(SAMPLE_CELLS).collect()]
+    # a hash range that holds about twice the sample, so that no task sends the driver more than its part of it
+    part = 2 * SAMPLE_CELLS / max(named.count(), 1)
+    near = named.withColumn("h", F.shiftrightunsigned(F.xxhash64("_id"), 33)).where(F.col("h") < int(min(part, 1.0) * 2**31))
+    return [(r["l"], r["content"]) for r in near.orderBy("h", "_id", "l").limit(SAMPLE_CELLS).collect()]
 
 
 def fitted(cells: DataFrame) -> LanguageField:

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notebrook.llm import encoding, language, leaks, overlap, syntax, tokenize
+from notebrook.llm import encoding, language, leaks, overlap, prose, syntax, tokenize
 from notebrook.session import table
 
 #: Folder of the public tokenizers' files.
@@ -29,6 +29,14 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return language.label_report(table(spark, d, "cell"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return prose.prose_in_cells(table(spark, d, "cell"), table(spark, d, "notebook"))
+
+
+def p4_shares(spark: SparkSession, d: str) -> DataFrame:
+    return prose.prose_shares(table(spark, d, "cell"), table(spark, d, "notebook"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return syntax.invalid_notebooks(table(spark, d, "cell"), table(spark, d, "notebook"))
 
@@ -61,5 +69,11 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding.repaired(table(spark, d, "documents")).where("garbled").drop("garbled")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p8_found, p8_restored, p1_found, p1_report, p7_found, p7_report, p5_found, p5_rates, p6_ids, p6_tokens_per_source)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_report, p2_found, p2_report, p4_found, p4_shares, p5_found, p5_rates,
+        p6_ids, p6_tokens_per_source, p7_found, p7_report, p8_found, p8_restored,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
