@@ -3,7 +3,7 @@
 1. Adjacent character pairs of the whole corpus are counted (code spans in backticks left out). A span that a strict inverse
    mapping turns into UTF-8 is not counted, else a corpus with many garbled texts would make garbled pairs look normal.
 2. A pair scores its pointwise mutual information, limited by its support: a pair that makes up less than
-   ``SUPPORT`` of all pairs has no reliable information and counts as improbable.
+   ``SUPPORT`` of all pairs, or fewer than ``LEAST_SUPPORT``, has no reliable information and counts as improbable.
 3. Maximum-scoring segments of improbable pairs are the runs that are looked at.
 4. Only inside those runs inverse mappings (encode in the wrong codec, decode in the right one) are tested. A
    mapping holds if the corpus finds its result more likely by a margin; the run is then restored.
@@ -21,13 +21,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CLASSES = 1024
-SUPPORT = 1e-5
+SUPPORT, LEAST_SUPPORT = 4e-5, 8
 #: Bits by which the corpus must prefer a restored run.
 MARGIN_UTF8, MARGIN_OTHER = 2.0, 7.0
 _CODE = re.compile(r"```.*?```|``.*?``|`[^`]*`", re.S)
@@ -194,7 +193,7 @@ class PairModel:
         left, right = g.sum(1, keepdims=True), g.sum(0, keepdims=True)
         with np.errstate(divide="ignore", invalid="ignore"):
             pmi = np.log2(g * total / (left * right))
-            support = np.log2(g / (SUPPORT * total))
+            support = np.log2(g / max(SUPPORT * total, LEAST_SUPPORT))
             share_left = n.sum(1) / left[coarse, 0]
             share_right = n.sum(0) / right[0, coarse]
         score = np.minimum(pmi + 1.0, support)
@@ -381,13 +380,14 @@ def repaired(documents: DataFrame, text_column: str = "text") -> DataFrame:
     counts = pair_counts(documents, text_column).collect()  # at most CLASSES² rows, however large the corpus
     model = documents.sparkSession.sparkContext.broadcast(PairModel([tuple(r) for r in counts]))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory: dict = {}
         for b in batches:
-            found = [(False, t, []) if not t or t.isascii() else restore(t, model.value, memory) for t in b[text_column]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "garbled": [x[0] for x in found], "restored": [x[1] for x in found], "mappings": [x[2] for x in found]})
+            found = [(False, t, []) if not t or t.isascii() else restore(t, model.value, memory) for t in b.column(1).to_pylist()]
+            new = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.bool_(), pa.string(), pa.list_(pa.string())))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *new], names=["doc_id", "garbled", "restored", "mappings"])
 
-    return documents.select("doc_id", text_column).mapInPandas(run, "doc_id bigint, garbled boolean, restored string, mappings array<string>")
+    return documents.select("doc_id", text_column).mapInArrow(run, f"doc_id {dict(documents.dtypes)['doc_id']}, garbled boolean, restored string, mappings array<string>")
 
 
 def garbled_documents(documents: DataFrame) -> DataFrame:

@@ -3,13 +3,14 @@
 Every cell is parsed by the grammar of its notebook's language; a cell that fails is parsed by every other supported
 grammar in the order of a token-based ranking. A foreign parse that succeeds points to a wrong language, failure
 everywhere to damage. Nulls: a notebook without a language, or with an unsupported one, has no grammar to fail, so its cells count as valid;
-null lines are skipped; null or empty content is valid. Rows delivered twice count once."""
+null lines are skipped; null or empty content is valid; a cell whose notebook is unknown is left out. Rows delivered twice
+count once."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,11 +36,11 @@ def with_language(cells: DataFrame, notebooks: DataFrame, *columns: str) -> Data
     )
 
 
-def _diagnosed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _diagnosed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = [diagnose(code, language) for code, language in zip(b["code"], b["language"])]
-        b["valid"], b["reason"], b["parses_as"] = zip(*found) if found else ([], [], [])
-        yield b[["notebook_number", "cell_pk", "language", "repository", "valid", "reason", "parses_as"]]
+        found = [diagnose(code, language) for code, language in zip(b.column(4).to_pylist(), b.column(2).to_pylist())]
+        new = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.bool_(), pa.string(), pa.string()))]
+        yield pa.RecordBatch.from_arrays([*b.columns[:4], *new], names=["notebook_number", "cell_pk", "language", "repository", "valid", "reason", "parses_as"])
 
 
 def cell_syntax(cells: DataFrame, notebooks: DataFrame) -> DataFrame:
@@ -47,7 +48,7 @@ def cell_syntax(cells: DataFrame, notebooks: DataFrame) -> DataFrame:
     code = cells.where("type = 'code'").withColumn("code", F.coalesce(F.array_join("content", "\n"), F.lit("")))
     joined = with_language(code, notebooks, "code").select("notebook_number", "cell_pk", "language", "repository", "code")
     schema = "notebook_number bigint, cell_pk string, language string, repository string, valid boolean, reason string, parses_as string"
-    return joined.mapInPandas(_diagnosed, schema)
+    return joined.mapInArrow(_diagnosed, schema)
 
 
 def invalid_notebooks(cells: DataFrame, notebooks: DataFrame) -> DataFrame:
