@@ -10,7 +10,7 @@ import re
 from collections.abc import Iterator
 from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -71,28 +71,28 @@ def code_row(record: str | None) -> tuple[int, int, str]:
     return kernel, cell, row[2]
 
 
-def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
-        for record in b["record"]:
+        for record in b.column(4).to_pylist():
             try:
                 out.append((*code_row(record), None))
             except Invalid as e:
                 out.append((None, None, None, str(e)))
-        rows = pd.DataFrame(out, columns=["kernel_id", "cell_id", "source", "reason"], index=b.index)
-        b["kernel_id"], b["cell_id"] = rows["kernel_id"].astype("Int64"), rows["cell_id"].astype("Int32")
-        b["source"], b["reason"] = rows["source"].astype(object), rows["reason"].astype(object)
-        yield b.drop(columns=["record"])
+        columns = zip(*out) if out else ((), (), (), ())
+        new = [pa.array(list(x), t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.string(), pa.string()))]
+        yield pa.RecordBatch.from_arrays([*b.columns[:4], *new], names=_PARSED)
+
+
+_PARSED = ["record_id", "file_name", "line_no", "received_at", "kernel_id", "cell_id", "source", "reason"]
 
 
 def parse(raw: DataFrame) -> DataFrame:
     """record_id, file_name, line_no, received_at, kernel_id, cell_id, source, reason: reason is null for a good row, the
     three columns are null for a bad one. No shuffle: each record is judged where it is read."""
     kept = raw.select("record_id", "file_name", "line_no", "received_at", "record")
-    schema = "record_id bigint, file_name string, line_no int, received_at timestamp_ntz, kernel_id bigint, cell_id int, source string, reason string"
-    if dict(kept.dtypes)["received_at"] == "timestamp":
-        schema = schema.replace("timestamp_ntz", "timestamp")
-    return kept.mapInPandas(_parsed, schema)
+    schema = ", ".join(f"{n} {t}" for n, t in kept.dtypes[:4]) + ", kernel_id bigint, cell_id int, source string, reason string"
+    return kept.mapInArrow(_parsed, schema)
 
 
 def rejected(raw: DataFrame) -> DataFrame:
