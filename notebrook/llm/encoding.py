@@ -297,22 +297,28 @@ def inversions(run: str) -> Iterator[tuple[str, str, str]]:
                 yield wrong, right, decoded
 
 
-def best_inversion(run: str, before: str, after: str, model: PairModel) -> tuple[str, str, str] | None:
-    """The mapping whose result the corpus likes best, if by enough."""
+Option = tuple[float, str, str]  # gain in bits, mapping, decoded
+
+
+def options(run: str, before: str, after: str, model: PairModel) -> list[Option]:
+    """The mappings whose results the corpus likes better by enough, the best first."""
+    if not any(c > "\x7f" and not c.isspace() for c in run):
+        return []  # an odd space alone is no evidence
     base = model.likelihood(classes(before + run + after))
-    best, most = None, 0.0
+    found: list[Option] = []
     for wrong, right, decoded in inversions(run):
         k = classes(before + decoded + after)
         gain = model.likelihood(k) - base - (MARGIN_UTF8 if right == "utf-8" else MARGIN_OTHER)
-        if gain > most and model.unseen(k) > (0.5 if right == "utf-8" else 0.1):
+        if gain <= 0:
+            continue
+        if model.unseen(k) > (0.5 if right == "utf-8" else 0.1):
             # text garbled twice decodes to pairs that the corpus has not seen, but to several characters at a place
             if right != "utf-8" or sum(c > "\x7f" for c in decoded) <= len(_HIGH.findall(run)):
                 continue
-        if gain > most + (2.0 if best else 0.0):  # mappings come in order of how common they are
-            best, most = (wrong, right, decoded), gain
-        if right == "utf-8" and best and best[1] == "utf-8" and len(run) > 3:
+        found.append((gain, f"{wrong}>{right}", decoded))
+        if right == "utf-8" and len(run) > 3:
             break
-    return best
+    return sorted(found, key=lambda o: -o[0])
 
 
 def damaged(run: str, before: str, after: str, model: PairModel) -> bool:
@@ -331,48 +337,54 @@ def damaged(run: str, before: str, after: str, model: PairModel) -> bool:
 
 
 def restore(text: str, model: PairModel, memory: dict) -> tuple[bool, str, list[str]]:
-    """(garbled, text as far as it could be restored, mappings used)."""
-    garbled, used = False, []
+    """(garbled, text as far as it could be restored, mappings used). A text was mostly garbled in one way, so where several
+    mappings would do, the one that explains most of the text is taken."""
+    garbled, used = False, set()
     for _ in range(3):  # text may have been garbled more than once
-        plain, pieces, at, changed = outside_code(text), [], 0, False
+        plain, parts = outside_code(text), []
         for begin, end in improbable_runs(plain, model):
-            before, after = plain[max(0, begin - 1) : begin], plain[end : end + 1]
-            run = text[begin:end]
-            key = (before, run, after)
+            key = (plain[max(0, begin - 1) : begin], text[begin:end], plain[end : end + 1])
             if key not in memory:
                 if len(memory) > 50_000:
                     memory.clear()
-                memory[key] = _judged(run, before, after, model)
-            bad, fixed, how = memory[key]
+                memory[key] = _judged(key[1], key[0], key[2], model)
+            bad, pieces = memory[key]
             garbled |= bad
-            if fixed != run:
-                pieces += [text[at:begin], fixed]
-                at, changed = end, True
-                used += how
-        if not changed:
+            parts += [(begin + a, begin + b, found) for a, b, found in pieces]
+        if not parts:
             break
-        text = "".join(pieces) + text[at:]
-    return garbled, text, sorted(set(used))
-
-
-def _judged(run: str, before: str, after: str, model: PairModel) -> tuple[bool, str, list[str]]:
-    best = best_inversion(run, before, after, model)
-    if best:
-        return True, best[2], [f"{best[0]}>{best[1]}"]
+        votes: dict[str, float] = {}
+        for _, _, found in parts:
+            for gain, how, _ in found:
+                votes[how] = votes.get(how, 0.0) + gain
+        top, out, at = max(votes, key=votes.get), [], 0
+        for begin, end, found in parts:
+            gain, how, decoded = next((o for o in found if o[1] == top), found[0])
+            out += [text[at:begin], decoded]
+            at = end
+            used.add(how)
+        text = "".join(out) + text[at:]
+    return garbled, text, sorted(used)
+
+
+def _judged(run: str, before: str, after: str, model: PairModel) -> tuple[bool, list[tuple[int, int, list[Option]]]]:
+    """(whether the run is garbled, [begin, end) of the parts that can be restored with their options)."""
+    found = options(run, before, after, model)
+    if found:
+        return True, [(0, len(run), found)]
     # the run as a whole is in no single codec: its stretches beyond ASCII one by one
-    bad, out, at, how = any(c == "�" or ("\x80" <= c < "\xa0" and c != "\x85") for c in run), [], 0, []
-    parts = [m.span() for m in _HIGH.finditer(run)]
-    for a, b in parts:
-        part = run[a:b]
-        best = best_inversion(part, run[a - 1 : a] if a else before, run[b : b + 1] or after, model) if (a, b) != (0, len(run)) else None
-        if best:
+    bad = any(c == "�" or ("\x80" <= c < "\xa0" and c != "\x85") for c in run)
+    parts = []
+    for m in _HIGH.finditer(run):
+        a, b = m.span()
+        left, right = run[a - 1 : a] if a else before, run[b : b + 1] or after
+        found = options(m.group(), left, right, model) if (a, b) != (0, len(run)) else []
+        if found:
             bad = True
-            out += [run[at:a], best[2]]
-            at = b
-            how.append(f"{best[0]}>{best[1]}")
-        elif damaged(part, run[a - 1 : a] if a else before, run[b : b + 1] or after, model):
+            parts.append((a, b, found))
+        elif damaged(m.group(), left, right, model):
             bad = True
-    return bad, "".join(out) + run[at:], how
+    return bad, parts
 
 
 def repaired(documents: DataFrame, text_column: str = "text") -> DataFrame:
