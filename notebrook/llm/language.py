@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 LANGUAGES = ("en", "de", "fr", "es", "pt", "it", "nl", "pl", "tr", "ru", "zh", "ja", "ko")
 #: Labelled cells of the sample, lines of a language that the field is fitted on, and words of a line or part of a line.
-SAMPLE_CELLS, LINES_PER_LANGUAGE, TRAINING_WORDS = 5000, 300, 24
+SAMPLE_CELLS, LINES_PER_LANGUAGE, TRAINING_WORDS = 5000, 200, 24
 DIMENSIONS = 1 << 16
 LEAST_LETTERS = 10
 
@@ -85,7 +85,7 @@ class LanguageField:
 
     # ---- fitting
 
-    def fit(self, lines: list[tuple[list[str], int]], steps: int = 40) -> LanguageField:
+    def fit(self, lines: list[tuple[list[str], int]], steps: int = 30) -> LanguageField:
         """lines: (words, language index). Neighbouring lines are also joined, as text that switches its language."""
         counts = [Counter(w for words, y in lines if y == i for w in words) for i in range(len(LANGUAGES))]
         self.lexicon = {}
@@ -121,6 +121,8 @@ class LanguageField:
         mask = ids >= 0
         truth = np.zeros((len(rows), k))
         np.add.at(truth, (ids[mask], gold[mask]), 1)
+        by_word = np.argsort(ids[mask], kind="stable")  # every word of the vocabulary occurs
+        word_starts = np.r_[0, np.cumsum(np.bincount(ids[mask], minlength=len(rows)))[:-1]]
         both = mask[:, 1:] & mask[:, :-1]
         truth_pairs = np.zeros((k, k))
         np.add.at(truth_pairs, (gold[:, :-1][both], gold[:, 1:][both]), 1)
@@ -129,8 +131,7 @@ class LanguageField:
         for step in range(1, steps + 1):
             emissions = np.add.reduceat(w[columns], starts)
             gamma, pairs = forward_backward(emissions[np.maximum(ids, 0)], mask, tr, want_pairs=True)
-            expected = np.zeros_like(truth)
-            np.add.at(expected, ids[mask], gamma[mask])
+            expected = np.add.reduceat(gamma[mask][by_word], word_starts)
             slope = np.add.reduceat((truth - expected)[owner[order]], at) - 0.02 * w
             slope_t = truth_pairs - pairs - 0.02 * tr
             for x, g, m, v in ((w, slope, moments[0], moments[1]), (tr, slope_t, moments[2], moments[3])):
@@ -267,14 +268,13 @@ def cleaned(lines: list[tuple[list[str], Counter]], rounds: int = 3) -> list[tup
     for j, (_, c) in enumerate(lines):
         for label, n in c.items():
             votes[j, label] = min(n, 50)
-    for r in range(rounds):
-        counts = np.zeros((len(ids), k))
-        np.add.at(counts, flat, votes[owner])
+    for _ in range(rounds):
+        counts = np.stack([np.bincount(flat, votes[owner, j], len(ids)) for j in range(k)], axis=1)
         total = counts.sum(0)
-        own = np.zeros((len(lines), k))
-        own[np.arange(len(lines)), y] = 1
-        rate = np.log(np.maximum(counts[flat] - own[owner], 0) + 0.05) - np.log(total + 0.05 * len(ids))
-        score = np.add.reduceat(rate, starts)
+        rate = (np.log(counts + 0.05) - np.log(total + 0.05 * len(ids))).astype(np.float32)
+        score = np.add.reduceat(rate[flat], starts)
+        mine = counts[flat, y[owner]]
+        score[np.arange(len(lines)), y] += np.add.reduceat(np.log(np.maximum(mine - 1, 0) + 0.05) - np.log(mine + 0.05), starts)
         score[:, total == 0] = -np.inf
         two = np.sort(score, axis=1)[:, -2:]
         y, margin = score.argmax(1), (two[:, 1] - two[:, 0]) / sizes
