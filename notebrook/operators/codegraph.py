@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from notebrook.functions import code as C
 from notebrook.operators.ordered import running
+from notebrook.session import written
 
 #: Positions are cell_id * STEP + the number of the event in the cell.
 STEP = 1_000_000
@@ -39,7 +40,8 @@ def references(cells: DataFrame) -> DataFrame:
     """notebook_id, name, source_cell, target_cell, source_line, target_line: every reference that resolves to a definition
     in an earlier position. A variable handed to a function that the notebook defines counts as defined anew there."""
     events = per_cell(cells, C.events, "seq int, line int, kind string, name string, other string")
-    events = events.withColumn("at", F.col("cell_id").cast("bigint") * STEP + F.col("seq"))
+    # used several times below: written once, so that no cell is parsed again
+    events = written(events.withColumn("at", F.col("cell_id").cast("bigint") * STEP + F.col("seq")), "events")
     defined = events.where("kind = 'def'").groupBy("notebook_id", "name").agg(F.min("at").alias("first"), F.max((F.col("other") == "variable").cast("int")).alias("variable"))
     known = events.join(defined, ["notebook_id", "name"])
     functions = defined.select("notebook_id", F.col("name").alias("other"), F.col("first").alias("function_first"))
