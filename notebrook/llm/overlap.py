@@ -19,6 +19,8 @@ from notebrook.session import written
 THRESHOLD = 0.7
 #: A token in at least this share of all token rows is hot; there can be no more than its inverse, which bounds the broadcast.
 HOT_SHARE = 0.001
+#: Training rows of one token that meet its evaluation rows in one task.
+PART_ROWS = 2000
 #: A closed string on one line (kept), or a comment (dropped): possessive, so that long lines need no deep recursion.
 STRING_OR_COMMENT = r"""("[^"\\]*+(?:\\.[^"\\]*+)*+"|'[^'\\]*+(?:\\.[^'\\]*+)*+')|#.*"""
 
@@ -81,8 +83,12 @@ def similar_classes(bags: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     e = prefix.where("in_eval = 1").select(F.col("class").alias("class_e"), F.col("n").alias("ne"), F.col("pos").alias("pe"), "t")
     r = prefix.where("in_train = 1").select(F.col("class").alias("class_t"), F.col("n").alias("nt"), F.col("pos").alias("pt"), "t")
     need = F.ceil((F.col("ne") + F.col("nt")) * threshold / (1 + threshold) - 1e-9)
+    # many training bags may share a rare token: they are split into parts, for each of which the evaluation row is repeated
+    parts = r.groupBy("t").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
+    e = e.join(parts, "t").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    r = r.join(parts, "t").withColumn("part", F.pmod(F.xxhash64("class_t"), F.col("parts")).cast("int")).drop("parts")
     candidates = (
-        e.join(r, "t")
+        e.join(r, ["t", "part"])
         .where((F.col("nt") >= F.col("ne") * threshold - 1e-9) & (F.col("ne") >= F.col("nt") * threshold - 1e-9))
         .where(F.least(F.col("ne") - F.col("pe"), F.col("nt") - F.col("pt")) >= need)
         .select("class_e", "class_t")

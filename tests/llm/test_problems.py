@@ -23,7 +23,9 @@ def books(spark, rows):
     return spark.createDataFrame(made, f"notebook_id bigint, dataset string, split string, {SEGMENTS}, class string")
 
 
-def test_overlap_equals_brute_force(spark):
+@pytest.mark.parametrize("part_rows", [1, 2000])
+def test_overlap_equals_brute_force(spark, monkeypatch, part_rows):
+    monkeypatch.setattr(overlap, "PART_ROWS", part_rows)
     rng = random.Random(3)
     common = [f"import m{i}" for i in range(4)]
     base = [[rng.choice(common) for _ in range(2)] + [f"x{b}_{i} = {i}" for i in range(rng.randint(3, 14))] for b in range(12)]
