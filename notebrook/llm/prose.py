@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from notebrook.llm.language import LANGUAGES, LanguageField, fitted, forward_backward, line_words
 from notebrook.llm.syntax import with_language
+from notebrook.session import written
 
 LEAST_WORDS, LEAST_CHARACTERS = 4, 8
 #: Share of a span's words that the language's lexicon must hold.
@@ -215,7 +216,7 @@ def _classified(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 def labelled_spans(cells: DataFrame, notebooks: DataFrame, field: LanguageField) -> DataFrame:
     """notebook_number, cell_pk, hash, n_bytes, lang of the spans with running text."""
-    found = spans(cells, notebooks)
+    found = written(spans(cells, notebooks), "spans")  # read twice below: the code is gone through once
     # equal hashes are equal texts, so this keeps one row per hash and combines before the shuffle
     distinct = found.select("hash", "span").distinct()
     labels = distinct.mapInArrow(partial(_classified, cells.sparkSession.sparkContext.broadcast(field)), "hash string, lang string")
