@@ -136,7 +136,7 @@ SELECT dataset, chunk, count(*) AS n, min(notebook_id) AS first, max(notebook_id
     "w24_line_ranges": SQL + """cut AS (SELECT _id, n_ast_children_of_segments AS n, unnest(list_append(list_filter(segment_ends, lambda e: e >= 0 AND e < n_ast_children_of_segments), n_ast_children_of_segments - 1)) AS e
   FROM nested WHERE segment_ends IS NOT NULL AND n_ast_children_of_segments > 0), once AS (SELECT DISTINCT _id, e FROM cut)
 SELECT _id, coalesce(lag(e) OVER (PARTITION BY _id ORDER BY e) + 1, 0) AS start, e + 1 AS stop FROM once""",
-    "p12_many_ends": SQL + "x AS (SELECT 1) SELECT _id, list_max(segment_ends) + 1 AS length FROM nested WHERE len(list_distinct(list_filter(segment_ends, lambda e: e >= 0))) > 5",
+    "p12_many_ends": SQL + "x AS (SELECT 1) SELECT _id, (list_max(segment_ends) + 1)::BIGINT AS length FROM nested WHERE len(list_distinct(list_filter(segment_ends, lambda e: e >= 0))) > 5",
     "p15_ground_truth": SQL + """l AS (SELECT _id, flatten(flatten(list_transform(segments, lambda s: list_transform(list_filter(s.cells, lambda c: c.type = 'code'), lambda c: c.content)))) AS l, segment_ends AS e FROM nested WHERE segments IS NOT NULL AND segment_ends IS NOT NULL),
 f AS (SELECT _id, list_filter(list_transform(l, lambda x: rtrim(x, ' ')), lambda x: x <> '') AS l, e FROM l)
 SELECT _id, len(l) AS n_lines, md5(array_to_string(l, chr(10))) AS digest, array_to_string(list_sort(list_distinct(list_filter(e, lambda x: x >= 0))), ',') AS ends FROM f""",

@@ -132,13 +132,13 @@ FROM summary WHERE n_code > 0 WINDOW w AS (PARTITION BY notebook_id ORDER BY seg
     "w08_ends_from_nested": SQL + """s AS (SELECT _id, i, len(list_filter(segments[i].cells, lambda c: c.type = 'code')) AS n FROM nested, unnest(range(1, len(segments) + 1)) AS t(i) WHERE segments[i].has_code),
 r AS (SELECT _id, sum(n) OVER (PARTITION BY _id ORDER BY i) - 1 AS e, i FROM s), f AS (SELECT _id, e, min(i) AS i FROM r GROUP BY ALL)
 SELECT n._id, coalesce(string_agg(e::BIGINT::VARCHAR, ',' ORDER BY f.i), '') AS ends FROM nested n LEFT JOIN f ON n._id = f._id WHERE segments IS NOT NULL GROUP BY n._id""",
-    "w11_resegmented": SQL + _CUT + " SELECT _id, segment_id, size::BIGINT AS size FROM sized",
+    "w11_resegmented": SQL + _CUT + " SELECT _id, segment_id::INT AS segment_id, size::BIGINT AS size FROM sized",
     "j06_position_to_segment": SQL + """p AS (SELECT _id, segment_ends, p AS position FROM nested, unnest(range(0, n_ast_children_of_segments)) AS t(p) WHERE segment_ends IS NOT NULL AND n_ast_children_of_segments > 0)
-SELECT _id, position, coalesce(list_position(list_transform(segment_ends, lambda e: e >= position), TRUE), 0) - 1 AS segment FROM p""",
-    "w16_uniform_labels": SQL + _CUT + " SELECT _id, position, round(1.0::DOUBLE / size, 6) AS label FROM placed",
+SELECT _id, position::INT AS position, coalesce(list_position(list_transform(segment_ends, lambda e: e >= position), TRUE), 0) - 1 AS segment FROM p""",
+    "w16_uniform_labels": SQL + _CUT + " SELECT _id, position::INT AS position, round(1.0::DOUBLE / size, 6) AS label FROM placed",
     "w17_exponential_labels": SQL + _CUT + """, m AS (SELECT *, CASE WHEN first AND size = 1 THEN 1 - exp(-2.0) WHEN first THEN exp(-2.0 * back) ELSE exp(-2.0 * back) - exp(-2.0 * (back + 1)) END AS v FROM placed)
-SELECT _id, position, round(CASE WHEN v < 1e-6 THEN 0.0 ELSE v END, 6) AS label FROM m""",
-    "w18_recorded_order": "SELECT event_id, user_id, k, row_number() OVER (PARTITION BY user_id ORDER BY k, ts, event_id) AS turn FROM (SELECT *, (props->>'$.k')::INT AS k FROM events)",
+SELECT _id, position::INT AS position, round(CASE WHEN v < 1e-6 THEN 0.0 ELSE v END, 6) AS label FROM m""",
+    "w18_recorded_order": "SELECT event_id, user_id, k, (row_number() OVER (PARTITION BY user_id ORDER BY k, ts, event_id))::INT AS turn FROM (SELECT *, (props->>'$.k')::INT AS k FROM events)",
     "w20_bigrams": SQL + "s AS (SELECT segment_ends[i + 1] - segment_ends[i] AS step FROM nested, unnest(range(1, len(segment_ends))) AS t(i)) SELECT step, count(*) AS n FROM s GROUP BY step",
     "w21_moving_average": "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS mean_of_5 FROM events",
 }

@@ -337,20 +337,20 @@ SELECT _id, array_to_string(e, ',') AS ends, len(e) > 0 AND list_max(e) < 64 AS
     "p24_uses_pandas": SQL + "x AS (SELECT 1) SELECT notebook_id, bool_or(coalesce(len(list_filter(content, lambda x: contains(x, 'pd.') OR contains(x, 'pandas'))) > 0, FALSE)) AS pandas FROM cells WHERE type = 'code' GROUP BY 1",
     "o04_page": "SELECT DISTINCT notebook_id FROM notebook ORDER BY 1 LIMIT 10 OFFSET 50",
     "o05_split": "SELECT DISTINCT notebook_id, CASE WHEN ((notebook_id * 2654435761 + 42) % 1000003) % 100 < 80 THEN 'train' ELSE 'test' END AS part FROM notebook",
-    "o06_stratified": SQL + """g AS (SELECT (n_ast_children_of_segments - 1) // 32 AS x, least(7, len(segment_ends) // 4) AS y, segment_ends, min(notebook_id) AS notebook_id FROM nested
+    "o06_stratified": SQL + """g AS (SELECT ((n_ast_children_of_segments - 1) // 32)::BIGINT AS x, least(7, len(segment_ends) // 4) AS y, segment_ends, min(notebook_id) AS notebook_id FROM nested
   WHERE segment_ends IS NOT NULL AND n_ast_children_of_segments BETWEEN 1 AND 256 GROUP BY ALL) SELECT x, y, notebook_id FROM g QUALIFY row_number() OVER (PARTITION BY x, y ORDER BY notebook_id) <= 16""",
-    "a11_size_grid": SQL + """g AS (SELECT (n_ast_children_of_segments - 1) // 32 AS x, least(3, len(segments) // 4) AS y FROM nested WHERE segments IS NOT NULL AND n_ast_children_of_segments BETWEEN 1 AND 256)
+    "a11_size_grid": SQL + """g AS (SELECT ((n_ast_children_of_segments - 1) // 32)::BIGINT AS x, least(3, len(segments) // 4) AS y FROM nested WHERE segments IS NOT NULL AND n_ast_children_of_segments BETWEEN 1 AND 256)
 SELECT x, count(*) FILTER (y = 0) AS y0, count(*) FILTER (y = 1) AS y1, count(*) FILTER (y = 2) AS y2, count(*) FILTER (y = 3) AS y3 FROM g GROUP BY x""",
     "a13_latency": "SELECT method, model, count(*) AS n, round(avg(st_time), 6) AS mean, round(stddev_pop(st_time), 6) AS std, count(*) FILTER (repr_time IS NOT NULL AND NOT isnan(repr_time)) AS with_repr FROM profile GROUP BY ALL",
-    "a14_latency_bins": "SELECT n_ast_children // 32 + 1 AS bin, count(*) AS n, round(avg(st_time), 6) AS mean FROM profile WHERE n_ast_children IS NOT NULL GROUP BY 1",
+    "a14_latency_bins": "SELECT (n_ast_children // 32 + 1)::BIGINT AS bin, count(*) AS n, round(avg(st_time), 6) AS mean FROM profile WHERE n_ast_children IS NOT NULL GROUP BY 1",
     "a16_macro_f1": SQL + """c AS (SELECT count(*) FILTER (is_eda AND selected)::DOUBLE AS tp, count(*) FILTER (NOT is_eda AND selected)::DOUBLE AS fp, count(*) FILTER (is_eda AND NOT selected)::DOUBLE AS fn, count(*) FILTER (NOT is_eda AND NOT selected)::DOUBLE AS tn FROM books WHERE is_eda IS NOT NULL AND selected IS NOT NULL),
 r AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS p1, coalesce(tp / nullif(tp + fn, 0), 0) AS r1, coalesce(tn / nullif(tn + fn, 0), 0) AS p0, coalesce(tn / nullif(tn + fp, 0), 0) AS r0 FROM c)
 SELECT round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, round((p1 + p0) / 2, 6) AS precision, round((r1 + r0) / 2, 6) AS recall, round((coalesce(2 * p1 * r1 / nullif(p1 + r1, 0), 0) + coalesce(2 * p0 * r0 / nullif(p0 + r0, 0), 0)) / 2, 6) AS f1 FROM r""",
     "a17_line_agreement": SQL + """l AS (SELECT _id, notebook_id, len(content) AS n, list_sum(list_transform(content, lambda x, i: (x IS NOT DISTINCT FROM content_no_comment[i])::INT)) AS same FROM cells WHERE type = 'code' AND content_no_comment IS NOT NULL AND content IS NOT NULL)
 SELECT notebook_id, round(avg(CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE same::DOUBLE / n END), 6) AS agreement, count(*) AS n FROM l GROUP BY 1""",
     "y17_first_difference": SQL + """l AS (SELECT _id, i - 1 AS line FROM cells, unnest(range(1, len(content) + 1)) AS t(i) WHERE type = 'code' AND content_no_comment IS NOT NULL AND content[i] IS DISTINCT FROM content_no_comment[i])
-SELECT _id, min(line) AS line FROM l GROUP BY 1""",
-    "a20_histogram": SQL + """k AS (SELECT prompted, n_code_lines // 10 AS bin, count(*) AS n FROM books WHERE prompted IS NOT NULL AND n_code_lines <= (SELECT quantile_cont(n_code_lines, 0.99) FROM books WHERE prompted IS NOT NULL) GROUP BY ALL)
+SELECT _id, min(line)::INT AS line FROM l GROUP BY 1""",
+    "a20_histogram": SQL + """k AS (SELECT prompted, (n_code_lines // 10)::BIGINT AS bin, count(*) AS n FROM books WHERE prompted IS NOT NULL AND n_code_lines <= (SELECT quantile_cont(n_code_lines, 0.99) FROM books WHERE prompted IS NOT NULL) GROUP BY ALL)
 SELECT *, round(n / sum(n) OVER (PARTITION BY prompted), 6) AS share FROM k""",
     "a21_melt": """WITH p AS (SELECT method, round(avg(st_time), 6) AS st_time, round(avg(n_ast_children), 6) AS n_ast_children FROM profile GROUP BY 1)
 SELECT method, 'st_time' AS metric, st_time AS value FROM p UNION ALL SELECT method, 'n_ast_children', n_ast_children FROM p""",

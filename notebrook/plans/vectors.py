@@ -164,7 +164,7 @@ SELECT _id, rpad(array_to_string(v[1:32], ''), 32, '0') AS padded, rpad(array_to
 s AS (SELECT _id, dataset, sum((t <> g)::INT) AS h, sum((t + g > 0)::INT) AS e, abs(sum(t) - sum(g)) AS w FROM p GROUP BY ALL)
 SELECT dataset, count(*) AS n, round(avg(CASE WHEN e = 0 THEN 1.0::DOUBLE ELSE 1 - h::DOUBLE / e END), 6) AS jaccard, round(avg(h), 6) AS hamming, round(avg(w), 6) AS wasserstein FROM s GROUP BY dataset""",
     "f11_fenced_blocks": r"""WITH b AS (SELECT doc_id, regexp_extract_all(text, '(?s)```python\n(.*?)```', 1) AS x FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, i - 1 AS block, length(x[i]) AS chars FROM b, unnest(range(1, len(x) + 1)) AS t(i)""",
+SELECT doc_id, (i - 1)::INT AS block, length(x[i]) AS chars FROM b, unnest(range(1, len(x) + 1)) AS t(i)""",
     "f14_blocks_at_comments": SQL + """l AS (SELECT _id, i, content[i] AS x FROM cells, unnest(range(1, len(content) + 1)) AS t(i) WHERE type = 'code'),
 f AS (SELECT _id, count(*) FILTER (starts_with(x, '#')) AS marks, min(i) FILTER (starts_with(x, '#')) AS first, min(i) FILTER (x <> '') AS filled FROM l GROUP BY 1)
 SELECT c._id, CASE WHEN filled IS NULL THEN 0 WHEN first IS NULL THEN 1 WHEN first = filled THEN marks ELSE marks + 1 END AS blocks FROM cells c LEFT JOIN f ON c._id = f._id WHERE type = 'code' AND content IS NOT NULL""",
