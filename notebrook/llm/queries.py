@@ -76,4 +76,16 @@ QUERIES = {
         p6_ids, p6_tokens_per_source, p7_found, p7_report, p8_found, p8_restored,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+_BAGS = r"""WITH n AS (SELECT DISTINCT notebook_id, dataset, split, segments FROM notebooksegments WHERE split IN ('train', 'valid', 'test')),
+s AS (SELECT notebook_id, dataset, split, unnest(segments) AS s FROM n), c AS (SELECT notebook_id, dataset, split, unnest(s.cells) AS c FROM s),
+l AS (SELECT notebook_id, dataset, split, unnest(c.content) AS x FROM c WHERE c.type = 'code'),
+b AS (SELECT notebook_id, dataset, split, regexp_replace(regexp_replace(x, '("[^"\\]*(?:\\.[^"\\]*)*"|''[^''\\]*(?:\\.[^''\\]*)*'')|#.*', '\1', 'g'), '\s+', '', 'g') AS x FROM l),
+t AS (SELECT *, row_number() OVER (PARTITION BY notebook_id, split, x) AS k FROM b WHERE x <> ''),
+z AS (SELECT notebook_id, split, count(*) AS n FROM t GROUP BY ALL),
+m AS (SELECT e.notebook_id AS e, e.split AS side, e.dataset AS source, r.notebook_id AS r, count(*) AS m FROM t e JOIN t r ON e.x = r.x AND e.k = r.k AND r.split = 'train' AND e.split <> 'train' AND e.notebook_id <> r.notebook_id GROUP BY ALL),
+p AS (SELECT m.*, m / (a.n + b.n - m) AS j FROM m JOIN z a ON m.e = a.notebook_id AND m.side = a.split JOIN z b ON m.r = b.notebook_id AND b.split = 'train' WHERE m / (a.n + b.n - m) >= 0.7)
+"""
+ORACLE_SQL: dict[str, str] = {
+    "p1_found": _BAGS + "SELECT DISTINCT least(e, r) AS id_a, greatest(e, r) AS id_b FROM p",
+    "p1_report": _BAGS + "SELECT side AS split, source AS dataset, count(DISTINCT e) AS notebooks, count(*) AS pairs, count(*) FILTER (j = 1) AS exact_pairs FROM p GROUP BY ALL",
+}
