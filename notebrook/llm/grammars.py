@@ -712,13 +712,12 @@ def ranked(code: str) -> list[str]:
     return sorted(GRAMMARS, key=lambda name: (-counts[name], name))
 
 
-def diagnose(code: str, language: str | None) -> tuple[bool, str | None, str | None]:
-    """(valid in its language, reason, the best-ranked other grammar that takes it)."""
-    grammar = GRAMMARS.get((language or "").lower())
-    if not code.strip() or grammar is None:
-        return True, None, None
-    error = grammar(code)
-    if error is None:
-        return True, None, None
-    foreign = next((name for name in ranked(code) if name != language.lower() and GRAMMARS[name](code) is None), None)
-    return False, error[:120], foreign
+def diagnose(code: str, language: str | None) -> tuple[bool, str | None, list[str]]:
+    """(valid in its language, reason if not, the grammars that take the code, best-ranked first). A language without a
+    grammar, and code of white space only, are valid and no grammar is asked."""
+    name = (language or "").lower()
+    if name not in GRAMMARS or not code.strip():
+        return True, None, []
+    errors = {other: GRAMMARS[other](code) for other in ranked(code)}
+    reason = errors[name]
+    return reason is None, reason and reason[:120], [other for other, error in errors.items() if error is None]

@@ -1,8 +1,7 @@
 """Code cells that are not valid in the language of their notebook (problem 5).
 
-Every cell is parsed by the grammar of its notebook's language; a cell that fails is parsed by every other supported
-grammar in the order of a token-based ranking. A foreign parse that succeeds points to a wrong language, failure
-everywhere to damage. Nulls: a notebook without a language, or with an unsupported one, has no grammar to fail, so its cells count as valid;
+Every cell is parsed by every supported grammar, in the order of a token-based ranking. A cell that its notebook's language
+rejects is flagged: a foreign parse that succeeds points to a wrong language, failure everywhere to damage. Nulls: a notebook without a language, or with an unsupported one, has no grammar to fail, so its cells count as valid;
 null lines are skipped; null or empty content is valid; a cell whose notebook is unknown is left out. Rows delivered twice
 count once."""
 
@@ -39,16 +38,18 @@ def with_language(cells: DataFrame, notebooks: DataFrame, *columns: str) -> Data
 def _diagnosed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found = [diagnose(code, language) for code, language in zip(b.column(4).to_pylist(), b.column(2).to_pylist())]
-        new = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.bool_(), pa.string(), pa.string()))]
-        yield pa.RecordBatch.from_arrays([*b.columns[:4], *new], names=["notebook_number", "cell_pk", "language", "repository", "valid", "reason", "parses_as"])
+        new = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.bool_(), pa.string(), pa.list_(pa.string())))]
+        yield pa.RecordBatch.from_arrays([*b.columns[:4], *new], names=["notebook_number", "cell_pk", "language", "repository", "valid", "reason", "accepted"])
 
 
 def cell_syntax(cells: DataFrame, notebooks: DataFrame) -> DataFrame:
-    """notebook_number, cell_pk, language, repository, valid, reason, parses_as (another language that takes the cell)."""
+    """notebook_number, cell_pk, language, repository, valid, reason, accepted (the grammars that take the cell, best first) and
+    parses_as (of an invalid cell, the best of them)."""
     code = cells.where("type = 'code'").withColumn("code", F.coalesce(F.array_join("content", "\n"), F.lit("")))
     joined = with_language(code, notebooks, "code").select("notebook_number", "cell_pk", "language", "repository", "code")
-    schema = "notebook_number bigint, cell_pk string, language string, repository string, valid boolean, reason string, parses_as string"
-    return joined.mapInArrow(_diagnosed, schema)
+    schema = "notebook_number bigint, cell_pk string, language string, repository string, valid boolean, reason string, accepted array<string>"
+    found = joined.mapInArrow(_diagnosed, schema)
+    return found.withColumn("parses_as", F.when(~F.col("valid"), F.try_element_at("accepted", F.lit(1))))
 
 
 def invalid_notebooks(cells: DataFrame, notebooks: DataFrame) -> DataFrame:

@@ -204,6 +204,8 @@ def test_invalid_notebooks(spark):
     assert {r[0] for r in syntax.invalid_notebooks(cells, notebooks).collect()} == {1, 2}
     found = {r["cell_pk"]: r["parses_as"] for r in syntax.cell_syntax(cells, notebooks).where("not valid").collect()}
     assert found == {"a": None, "c": "python"}
+    accepted = {r["cell_pk"]: sorted(r["accepted"]) for r in syntax.cell_syntax(cells, notebooks).collect()}
+    assert accepted == {"a": [], "b": ["julia", "python", "r"], "c": ["julia", "python"], "d": [], "e": []}
     rates = {r["language"]: (r["cells"], r["invalid_cells"], r["foreign_cells"]) for r in syntax.syntax_rates(cells, notebooks).collect()}
     assert rates["python"] == (2, 1, 0) and rates["r"] == (1, 1, 1)
 
