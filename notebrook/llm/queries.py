@@ -85,7 +85,16 @@ z AS (SELECT notebook_id, split, count(*) AS n FROM t GROUP BY ALL),
 m AS (SELECT e.notebook_id AS e, e.split AS side, e.dataset AS source, r.notebook_id AS r, count(*) AS m FROM t e JOIN t r ON e.x = r.x AND e.k = r.k AND r.split = 'train' AND e.split <> 'train' AND e.notebook_id <> r.notebook_id GROUP BY ALL),
 p AS (SELECT m.*, m / (a.n + b.n - m) AS j FROM m JOIN z a ON m.e = a.notebook_id AND m.side = a.split JOIN z b ON m.r = b.notebook_id AND b.split = 'train' WHERE m / (a.n + b.n - m) >= 0.7)
 """
+# NFC stands in for NFKC, which SQL lacks: they differ only in compatibility characters, which these passages don't have
+_RUNS = r"""WITH i AS (SELECT item_id, regexp_extract_all(lower(nfc_normalize(passage)), '[\p{L}\p{N}_]+') AS w FROM eval_items WHERE passage IS NOT NULL),
+d AS (SELECT doc_id, regexp_extract_all(lower(nfc_normalize(text)), '[\p{L}\p{N}_]+') AS w FROM documents WHERE text IS NOT NULL),
+a AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS g FROM i, unnest(range(1, len(w) - 10)) AS t(k)),
+b AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 11], ' ') AS g FROM d, unnest(range(1, len(w) - 10)) AS t(k)),
+m AS (SELECT item_id, doc_id, count(*) AS n FROM a JOIN b USING (g) GROUP BY ALL), z AS (SELECT item_id, count(*) AS n FROM a GROUP BY 1)
+"""
 ORACLE_SQL: dict[str, str] = {
+    "p7_found": _RUNS + "SELECT item_id, doc_id FROM m",
+    "p7_report": _RUNS + "SELECT m.item_id, count(*) AS documents, round(max(m.n / z.n), 6) AS largest_share FROM m JOIN z ON m.item_id = z.item_id GROUP BY 1",
     "p1_found": _BAGS + "SELECT DISTINCT least(e, r) AS id_a, greatest(e, r) AS id_b FROM p",
     "p1_report": _BAGS + "SELECT side AS split, source AS dataset, count(DISTINCT e) AS notebooks, count(*) AS pairs, count(*) FILTER (j = 1) AS exact_pairs FROM p GROUP BY ALL",
 }
