@@ -103,7 +103,7 @@ def f33_scaled(spark: SparkSession, d: str) -> DataFrame:
     """Measurements standardised over the table, method one-hot."""
     p = table(spark, d, "profile").where("n_ast_children is not null")
     s = p.agg(F.avg("n_ast_children").alias("m"), F.stddev_pop("n_ast_children").alias("s"))
-    hot = [(F.col("method") == x).cast("int").alias(f"is_{x}") for x in ("nb2p", "tree")]
+    hot = [(F.col("method") == x).cast("int").alias(f"is_{x}") for x in ("fewshot", "tree")]
     return p.join(F.broadcast(s)).select("notebook_id", "dataset", "method", "model", "measured_at", F.round((F.col("n_ast_children") - F.col("m")) / F.col("s"), 6).alias("z"), *hot)
 
 
@@ -175,7 +175,7 @@ SELECT doc_id, len(l) AS lines, len(list_filter(l, lambda x: trim(x, ' ') <> '')
     "j15_nearest": """WITH d AS (SELECT q.vec_id AS query, r.vec_id AS neighbour, list_distance(q.embedding::DOUBLE[], r.embedding::DOUBLE[]) AS x FROM embeddings q, embeddings r WHERE q.vec_id % 20 = 0 AND q.vec_id <> r.vec_id)
 SELECT query, row_number() OVER (PARTITION BY query ORDER BY x, neighbour) AS rank, neighbour, round(x, 5) AS distance FROM d QUALIFY rank <= 3""",
     "s29_new_vectors": "SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM embeddings WHERE label < 3)",
-    "f33_scaled": """SELECT notebook_id, dataset, method, model, measured_at, round((n_ast_children - avg(n_ast_children) OVER ()) / stddev_pop(n_ast_children) OVER (), 6) AS z, (method = 'nb2p')::INT AS is_nb2p, (method = 'tree')::INT AS is_tree FROM profile WHERE n_ast_children IS NOT NULL""",
+    "f33_scaled": """SELECT notebook_id, dataset, method, model, measured_at, round((n_ast_children - avg(n_ast_children) OVER ()) / stddev_pop(n_ast_children) OVER (), 6) AS z, (method = 'fewshot')::INT AS is_fewshot, (method = 'tree')::INT AS is_tree FROM profile WHERE n_ast_children IS NOT NULL""",
     "st_window_counts": "SELECT date_trunc('day', ts)::TIMESTAMP AS starts, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "st_latest_profile": "SELECT notebook_id, dataset, method, model, n_ast_children, st_time FROM profile QUALIFY row_number() OVER (PARTITION BY notebook_id, dataset, method, model ORDER BY measured_at DESC, n_ast_children DESC) = 1",
     "s31_notebook_files": SQL + """c AS (SELECT b.notebook_id, k.content FROM books b JOIN cells k ON b._id = k.notebook_id WHERE selected AND n_code_lines <= 2000)
