@@ -129,14 +129,13 @@ def st_latest_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def s31_notebook_files(spark: SparkSession, d: str) -> DataFrame:
-    """Selected notebooks written as files and read again: cells and lines of each."""
-    chosen = notebooks(spark, d, "notebook_id", "selected", "n_code_lines").where("selected and n_code_lines <= 2000").select(F.col("_id").alias("notebook_id"), F.col("notebook_id").alias("name"))
-    kids = cells(spark, d, "notebook_id", "cell_id", "type", "content").join(chosen, "notebook_id").select("name", "cell_id", "type", "content")
+    """Selected notebooks written as files, a page of cells each, and read again: cells and lines of each."""
+    chosen = notebooks(spark, d, "notebook_id", "selected").where("selected").select(F.col("_id").alias("notebook_id"), F.col("notebook_id").alias("name"))
+    kids = R.spread_join(cells(spark, d, "notebook_id", "cell_id", "type", "content"), chosen, "notebook_id", "_id").select("name", "cell_id", "type", "content")
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
-    files.to_files(kids, "name").select("text", F.concat(F.col("name").cast("string"), F.lit("")).alias("name")).write.partitionBy("name").text(path)
-    text = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_path", r"name=(\d+)/", 1).cast("bigint").alias("notebook_id"), F.from_json("value", files._FILE).alias("n"))
-    flat = text.select("notebook_id", F.posexplode("n.cells").alias("pos", "c")).select("notebook_id", files._text(F.col("c.source")).alias("t"))
-    return flat.groupBy("notebook_id").agg(F.count("*").alias("n_cells"), F.sum(F.when(F.col("t") == "", 0).otherwise(F.size(F.split("t", "\n")))).alias("n_lines"))
+    files.to_files(kids, "name").select("text", F.col("name").cast("string").alias("name"), "page").write.partitionBy("name", "page").text(path)
+    filled = F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n")))
+    return files.read_pages(spark, path).groupBy(F.col("name").alias("notebook_id")).agg(F.count("*").alias("n_cells"), F.sum(filled).alias("n_lines"))
 
 
 def s20_delete_and_recount(spark: SparkSession, d: str) -> DataFrame:

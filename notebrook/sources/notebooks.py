@@ -36,11 +36,20 @@ def broken(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path).where("n is null or (n.cells is null and n.worksheets is null)").select("name")
 
 
-def to_files(cells: DataFrame, key: str) -> DataFrame:
-    """key, text: the JSON of one notebook for each key. cells has key, cell_id, type, content. A notebook is one file, so use it
-    for selections of bounded notebooks."""
+def to_files(cells: DataFrame, key: str, page: int = 1000) -> DataFrame:
+    """key, page, text: the JSON of a notebook's cells, one row for each ``page`` positions, so that no file grows with a notebook.
+    cells has key, cell_id, type, content."""
     lines = F.transform("content", lambda x, i: F.when(i < F.size("content") - 1, F.concat(x, F.lit("\n"))).otherwise(x))
     cell = F.struct("cell_id", F.struct(F.col("type").alias("cell_type"), F.coalesce(lines, F.array().cast("array<string>")).alias("source")).alias("c"))
-    books = cells.groupBy(key).agg(F.array_sort(F.collect_list(cell)).alias("x"))
+    books = cells.groupBy(key, F.floor(F.col("cell_id") / page).alias("page")).agg(F.array_sort(F.collect_list(cell)).alias("x"))
     body = F.struct(F.transform("x", lambda x: x["c"]).alias("cells"), F.lit(4).alias("nbformat"), F.lit(5).alias("nbformat_minor"))
-    return books.select(key, F.to_json(body).alias("text"))
+    return books.select(key, "page", F.to_json(body).alias("text"))
+
+
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """name, page, pos, type, text of the cells in the files that ``to_files`` gave, written by name and page; (page, pos) is the
+    order of the cells in a notebook."""
+    at = lambda part: F.regexp_extract("_metadata.file_path", rf"{part}=(\d+)/", 1).cast("bigint").alias(part)
+    text = spark.read.text(path, wholetext=True).select(at("name"), at("page"), F.from_json("value", _FILE).alias("n"))
+    flat = text.select("name", "page", F.posexplode("n.cells").alias("pos", "c"))
+    return flat.select("name", "page", "pos", F.col("c.cell_type").alias("type"), _text(F.col("c.source")).alias("text"))

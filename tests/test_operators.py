@@ -15,6 +15,7 @@ from notebrook.functions import code as C
 from notebrook.functions import prompts as P
 from notebrook.operators import codegraph as G
 from notebrook.operators import models, ordered, relational, retrieval
+from notebrook.plans import vectors
 from notebrook.sources import notebooks, records
 from notebrook.streaming import ingest
 
@@ -197,6 +198,23 @@ def test_both_notebook_formats(spark, tmp_path):
     assert {r.name for r in notebooks.broken(spark, str(tmp_path)).collect()} == {"bad", "none"}
 
 
+def test_selected_notebooks_are_written_whole(spark, tmp_path):
+    books = [("a", 1, True, None), ("b", 2, True, 9999), ("c", 3, True, 5), ("d", 4, False, 5)]
+    spark.createDataFrame(books, "_id string, notebook_id bigint, selected boolean, n_code_lines int").withColumn("loaded_at", F.lit(0)).write.parquet(str(tmp_path / "notebook.parquet"))
+    kids = [(f"{b}{i}", b, i, "code", [f"x = {i}", "y"]) for b, n in (("a", 2), ("b", 2500), ("c", 1), ("d", 1)) for i in range(n)]
+    spark.createDataFrame(kids, "_id string, notebook_id string, cell_id int, type string, content array<string>").withColumn("loaded_at", F.lit(0)).write.parquet(str(tmp_path / "cell.parquet"))
+    assert sorted(tuple(r) for r in vectors.s31_notebook_files(spark, str(tmp_path)).collect()) == [(1, 2, 4), (2, 2500, 5000), (3, 1, 2)]
+
+
+def test_notebook_files_are_pages(spark, tmp_path):
+    df = spark.createDataFrame([(7, i * 2, "code", [f"x = {i}", ""]) for i in range(25)], "name bigint, cell_id int, type string, content array<string>")
+    pages = notebooks.to_files(df, "name", page=20)
+    assert sorted((r.page, len(json.loads(r.text)["cells"])) for r in pages.collect()) == [(0, 10), (1, 10), (2, 5)]
+    pages.write.partitionBy("name", "page").text(str(tmp_path / "files"))
+    got = sorted((r.page, r.pos, r.text) for r in notebooks.read_pages(spark, str(tmp_path / "files")).collect())
+    assert [t for _, _, t in got] == [f"x = {i}\n" for i in range(25)]
+
+
 # ---- code
 
 
