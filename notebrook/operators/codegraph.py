@@ -6,7 +6,9 @@ task. Cells that do not parse have no rows."""
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
+from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -124,21 +126,151 @@ def execution_orders(makes: list[set], needs: list[set], most: int) -> list[list
     return orders
 
 
-def order_rows(symbol_rows: DataFrame, cells: DataFrame, most: int = 1) -> DataFrame:
-    """notebook_id, path, cells (positions in run order). For notebooks of bounded size only: the enumeration is exponential, its
-    cap is the reference's own, and a notebook is one group."""
+def _books(symbol_rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """notebook_id, x: the cells of a notebook in order with what they make and need."""
     lists = symbol_rows.groupBy("notebook_id", "cell_id").agg(
         F.collect_set(F.when(F.col("role") == "makes", F.concat_ws(":", "name", "space"))).alias("makes"),
         F.collect_set(F.when(F.col("role") == "needs", F.concat_ws(":", "name", "space"))).alias("needs"),
     )
     every = cells.select("notebook_id", "cell_id").join(lists, ["notebook_id", "cell_id"], "left")
-    books = every.groupBy("notebook_id").agg(F.array_sort(F.collect_list(F.struct("cell_id", "makes", "needs"))).alias("x"))
+    return every.groupBy("notebook_id").agg(F.array_sort(F.collect_list(F.struct("cell_id", "makes", "needs"))).alias("x"))
 
+
+def order_rows(symbol_rows: DataFrame, cells: DataFrame, most: int = 1) -> DataFrame:
+    """notebook_id, path, cells (positions in run order). For notebooks of bounded size only: the enumeration is exponential, its
+    cap is the reference's own, and a notebook is one group."""
     @F.udf("array<array<int>>", useArrow=True)
     def run(x):
         return execution_orders([set(c["makes"] or ()) for c in x], [set(c["needs"] or ()) for c in x], most)
 
-    return books.select("notebook_id", F.posexplode(run("x")).alias("path", "cells"))
+    return _books(symbol_rows, cells).select("notebook_id", F.posexplode(run("x")).alias("path", "cells"))
+
+
+#: Notebooks of more cells are thinned by joins before their rest is ordered in one task; after ROUNDS a rest that still grows is taken whole.
+LARGE, ROUNDS = 2_000, 12
+
+
+def order_count(makes: list[set], needs: list[set], most: int) -> tuple[int, int]:
+    """How many orders ``execution_orders`` has, up to ``most``, and their length: what is made only grows, so all of them
+    hold the same cells. One step forward or back for each cell that differs, no recursion."""
+    waits: dict[str, list[int]] = {}
+    missing = []
+    for i, (m, n) in enumerate(zip(makes, needs)):
+        missing.append(len(n - m))
+        for name in n - m:
+            waits.setdefault(name, []).append(i)
+    have: dict[str, int] = {}
+    ready = [i for i, n in enumerate(missing) if not n]
+    path: list[int] = []
+    count, length, last = 0, 0, -1
+    while True:
+        k = bisect_right(ready, last)
+        if k < len(ready):
+            i = ready.pop(k)
+            path.append(i)
+            for name in makes[i]:
+                have[name] = have.get(name, 0) + 1
+                for c in waits.get(name, ()) if have[name] == 1 else ():
+                    missing[c] -= 1
+                    if not missing[c]:
+                        insort(ready, c)
+            last = -1
+            continue
+        if last == -1:
+            count, length = count + 1, len(path)
+        if count >= most or not path:
+            return count, length
+        last = path.pop()
+        for name in makes[last]:
+            have[name] -= 1
+            for c in waits.get(name, ()) if not have[name] else ():
+                if not missing[c]:
+                    ready.pop(bisect_left(ready, c))
+                missing[c] += 1
+        insort(ready, last)
+
+
+def delayed_order(cells: list[tuple[int, set, dict]]) -> list[tuple[int, int, int]]:
+    """(cell, trigger, step) of the cells that run, given (cell, made, {needed: the first other cell that makes it in place, or None}).
+    The lowest ready cell runs first: a cell that waits runs right after the trigger that completes it, the lowest of these first."""
+    makes = {c: m for c, m, _ in cells}
+    missing, waits, given = {}, {}, {}
+    for c, m, n in cells:
+        foreign = {name: first for name, first in n.items() if name not in m}
+        missing[c] = len(foreign)
+        for name, first in foreign.items():
+            waits.setdefault(name, []).append(c)
+            if first is not None:
+                given.setdefault(first, set()).add(name)
+    heap: list[int] = []
+    out = []
+
+    def provide(names, now):
+        for name in names:
+            for c in waits.pop(name, ()):
+                missing[c] -= 1
+                if not missing[c] and c < now:
+                    heappush(heap, c)
+
+    for now in sorted(makes.keys() | given.keys()):
+        provide(given.get(now, ()), now)
+        if now in makes and not missing[now]:
+            out.append((now, now, 0))
+            provide(makes[now], now)
+        step = 0
+        while heap:
+            c, step = heappop(heap), step + 1
+            out.append((c, now, step))
+            provide(makes[c], now)
+    return out
+
+
+def single_order(symbol_rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """notebook_id, cell_id, trigger, step: the first execution order of each notebook is that of (trigger, step); cells that
+    never can run are left out. Of a large notebook the cells that run in their place are found by joins: a cell waits if
+    something that it needs has no earlier maker that does not wait. Only the waiting ones go to one task."""
+    key = F.concat_ws(":", "name", "space").alias("key")
+    rows = written(symbol_rows.select("notebook_id", "cell_id", "role", key).distinct(), "symbols")
+    cells = written(cells.select("notebook_id", "cell_id"), "places")
+    large = cells.groupBy("notebook_id").count().where(F.col("count") > LARGE).select("notebook_id")
+    makes = rows.where("role = 'makes'").drop("role")
+    needs = rows.where("role = 'needs'").drop("role").join(makes, ["notebook_id", "cell_id", "key"], "left_anti")
+    big_makes = written(makes.join(large, "notebook_id", "left_semi").withColumnRenamed("cell_id", "maker"), "makes")
+    big_needs = written(needs.join(large, "notebook_id", "left_semi"), "needs")
+    first = big_makes.groupBy("notebook_id", "key").agg(F.min("maker").alias("first"))
+    size, late = -1, None
+    for _ in range(ROUNDS):
+        before = size
+        late = written(big_needs.join(first, ["notebook_id", "key"], "left").where("first is null or first > cell_id").select("notebook_id", "cell_id").distinct(), "late")
+        size = late.count()
+        if size == before:
+            break
+        first = big_makes.join(late.withColumnRenamed("cell_id", "maker"), ["notebook_id", "maker"], "left_anti").groupBy("notebook_id", "key").agg(F.min("maker").alias("first"))
+    else:
+        late, first = cells.join(large, "notebook_id", "left_semi"), first.where("false")
+    waiting = cells.join(large, "notebook_id", "left_anti").unionByName(late)
+    first = written(first, "first")
+    roles = needs.join(first, ["notebook_id", "key"], "left").withColumn("made", F.lit(False)).unionByName(makes.withColumn("first", F.lit(None).cast("int")).withColumn("made", F.lit(True)))
+    lists = roles.groupBy("notebook_id", "cell_id").agg(F.collect_list(F.struct("key", "first", "made")).alias("x"))
+    books = waiting.join(lists, ["notebook_id", "cell_id"], "left").groupBy("notebook_id").agg(F.collect_list(F.struct("cell_id", "x")).alias("cells"))
+
+    @F.udf("array<struct<cell_id int, trigger int, step int>>", useArrow=True)
+    def run(cells):
+        return delayed_order([(c["cell_id"], {s["key"] for s in c["x"] or () if s["made"]}, {s["key"]: s["first"] for s in c["x"] or () if not s["made"]}) for c in cells])
+
+    moved = books.select("notebook_id", F.inline(run("cells")))
+    placed = cells.join(waiting, ["notebook_id", "cell_id"], "left_anti").select("notebook_id", "cell_id", F.col("cell_id").alias("trigger"), F.lit(0).alias("step"))
+    return placed.unionByName(moved)
+
+
+def order_counts(symbol_rows: DataFrame, cells: DataFrame, most: int) -> DataFrame:
+    """notebook_id, orders (up to most), longest."""
+
+    @F.udf("struct<orders bigint, longest bigint>", useArrow=True)
+    def run(x):
+        return order_count([set(c["makes"] or ()) for c in x], [set(c["needs"] or ()) for c in x], most)
+
+    return _books(symbol_rows, cells).select("notebook_id", run("x").alias("n")).select("notebook_id", "n.orders", "n.longest")
 
 
 #: Functions whose results are random, and the call that makes them repeatable.

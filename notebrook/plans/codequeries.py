@@ -79,14 +79,20 @@ def j09_not_runnable(spark: SparkSession, d: str) -> DataFrame:
 
 
 def t44_single_order(spark: SparkSession, d: str) -> DataFrame:
-    code = bounded_cells(spark, d)
-    return G.order_rows(G.symbols(code), code, 1).select("notebook_id", "path", F.array_join(F.col("cells").cast("array<string>"), ",").alias("cells"))
+    """The first execution order of every Python notebook, as positions among its code cells, in pages of a thousand triggers."""
+    code = written(python_cells(spark, d), "code")
+    places = ordered.gap_segments(code.withColumn("type", F.lit("code"))).select("notebook_id", "cell_id", "pos")
+    order = G.single_order(G.symbols(code), code).join(places, ["notebook_id", "cell_id"])
+    pages = order.groupBy("notebook_id", F.floor(F.col("trigger") / 1000).alias("page")).agg(F.array_sort(F.collect_list(F.struct("trigger", "step", "pos"))).alias("x"))
+    cells = code.select("notebook_id").distinct().join(pages, "notebook_id", "left")  # where nothing runs, the order is empty
+    listed = F.array_join(F.transform("x", lambda x: x["pos"].cast("string")), ",")
+    return cells.select("notebook_id", F.lit(0).alias("path"), F.coalesce("page", F.lit(0)).alias("page"), F.coalesce(listed, F.lit("")).alias("cells"))
 
 
 def t44_all_orders(spark: SparkSession, d: str) -> DataFrame:
-    """How many execution orders there are, up to the reference's cap of 200."""
-    code = bounded_cells(spark, d)
-    return G.order_rows(G.symbols(code), code, 200).groupBy("notebook_id").agg(F.count("*").alias("orders"), F.max(F.size("cells")).cast("bigint").alias("longest"))
+    """How many execution orders every Python notebook has, up to the reference's cap of 200."""
+    code = python_cells(spark, d)
+    return G.order_counts(G.symbols(code), code, 200)
 
 
 def t48_random_risk(spark: SparkSession, d: str) -> DataFrame:

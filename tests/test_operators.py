@@ -275,6 +275,40 @@ def test_execution_orders_equal_brute_force(spark):
     assert {(r.cell_id, tuple(r.missing)) for r in G.runnable_top_down(G.symbols(df)).collect()} == {(0, ("x",))}
 
 
+def test_order_counts_and_delayed_cells_equal_enumeration():
+    rng = random.Random(3)
+    for _ in range(300):
+        n = rng.randint(1, 6)
+        makes = [set(rng.sample("abcd", rng.randint(0, 2))) for _ in range(n)]
+        needs = [set(rng.sample("abcde"[: rng.choice((3, 4, 5))], rng.randint(0, 2))) for _ in range(n)]
+        whole = G.execution_orders(makes, needs, 10_000)
+        assert G.order_count(makes, needs, 10_000) == (len(whole), max(map(len, whole)))
+        assert G.order_count(makes, needs, 3)[0] == min(3, len(whole))
+        moved = G.delayed_order([(i, makes[i], dict.fromkeys(needs[i])) for i in range(n)])
+        assert [c for c, *_ in sorted(moved, key=lambda x: x[1:])] == whole[0]
+    assert G.order_count([{i + 1} for i in range(3000)], [{i} if i else set() for i in range(3000)], 200) == (1, 3000)
+
+
+@pytest.mark.parametrize("large, rounds", [(2_000, 12), (2, 12), (2, 1)])
+def test_single_orders_of_all_notebooks(spark, monkeypatch, large, rounds):
+    monkeypatch.setattr(G, "LARGE", large)
+    monkeypatch.setattr(G, "ROUNDS", rounds)
+    rng = random.Random(5)
+    symbols, cells, want = [], [], {}
+    for b in map(str, range(40)):
+        n = rng.randint(1, 9)
+        makes = [set(rng.sample("abcdef", rng.randint(0, 2))) for _ in range(n)]
+        needs = [set(rng.sample("abcdefg", rng.randint(0, 2))) for _ in range(n)]
+        cells += [(b, i) for i in range(n)]
+        symbols += [(b, i, role, x, "var") for role, sets in (("makes", makes), ("needs", needs)) for i in range(n) for x in sets[i]]
+        want[b] = G.execution_orders(makes, needs, 1)[0]
+    rows = spark.createDataFrame(symbols, "notebook_id string, cell_id int, role string, name string, space string")
+    got = {b: [] for b in want}
+    for r in sorted(G.single_order(rows, spark.createDataFrame(cells, "notebook_id string, cell_id int")).collect(), key=lambda r: (r.trigger, r.step)):
+        got[r.notebook_id].append(r.cell_id)
+    assert got == want
+
+
 def test_augmented_names_are_not_made():
     made, needed = C.produced_consumed("x += 1")
     assert made == [] and needed == ["x:var"]
