@@ -266,9 +266,29 @@ def dataflow(code: str | None) -> list[tuple[str, int, str, str, int]]:
         return [n for n in ast.walk(node) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Load)]
 
     def use(node, state):
-        for n in loads(node):
-            for line in sorted(state.get(n.id, ())):
-                edges[n.id, n.lineno, "comesFrom", n.id, line] = None
+        todo = [node]
+        while todo:
+            n = todo.pop()
+            if isinstance(n, ast.Name):
+                if isinstance(n.ctx, ast.Load):
+                    for line in sorted(state.get(n.id, ())):
+                        edges[n.id, n.lineno, "comesFrom", n.id, line] = None
+            elif isinstance(n, (ast.ListComp, ast.SetComp, ast.GeneratorExp, ast.DictComp)):
+                inner = dict(state)
+                for g in n.generators:
+                    use(g.iter, inner)
+                    bind(g.target, loads(g.iter), inner)
+                    for test in g.ifs:
+                        use(test, inner)
+                for part in (n.key, n.value) if isinstance(n, ast.DictComp) else (n.elt,):
+                    use(part, inner)
+            elif isinstance(n, ast.Lambda):
+                use(n.body, parameters(n.args, state))
+            elif isinstance(n, ast.NamedExpr):
+                use(n.value, state)
+                bind(n.target, loads(n.value), state)
+            else:
+                todo.extend(reversed(list(ast.iter_child_nodes(n))))
 
     def bind(target, sources, state):
         for t in ast.walk(target):
@@ -277,6 +297,38 @@ def dataflow(code: str | None) -> list[tuple[str, int, str, str, int]]:
                     edges[t.id, t.lineno, "computedFrom", s.id, s.lineno] = None
                 state[t.id] = {t.lineno}
 
+    def parameters(args, state):
+        """The state inside a function; a parameter comes from the names of its default."""
+        inner = dict(state)
+        positional = [*args.posonlyargs, *args.args]
+        defaults = [*zip(positional[len(positional) - len(args.defaults) :], args.defaults), *zip(args.kwonlyargs, args.kw_defaults)]
+        for p in (*positional, *args.kwonlyargs, args.vararg, args.kwarg):
+            if p is not None:
+                inner[p.arg] = {p.lineno}
+        for p, default in defaults:
+            if default is not None:
+                use(default, state)
+                for s in loads(default):
+                    edges[p.arg, p.lineno, "comesFrom", s.id, s.lineno] = None
+        return inner
+
+    def define(s, state):
+        """Bodies see a copy: what they bind stays inside."""
+        for x in s.decorator_list:
+            use(x, state)
+        if isinstance(s, ast.ClassDef):
+            for x in (*s.bases, *(k.value for k in s.keywords)):
+                use(x, state)
+            run(s.body, dict(state))
+            state[s.name] = {s.lineno}
+        else:
+            for x in (*(p.annotation for p in (*s.args.posonlyargs, *s.args.args, *s.args.kwonlyargs, s.args.vararg, s.args.kwarg) if p), s.returns):
+                if x is not None:
+                    use(x, state)
+            inner = parameters(s.args, state)
+            state[s.name] = {s.lineno}
+            run(s.body, {s.name: {s.lineno}} | inner)
+
     def merge(a, b):
         return {k: a.get(k, set()) | b.get(k, set()) for k in a.keys() | b.keys()}
 
@@ -291,25 +343,51 @@ def dataflow(code: str | None) -> list[tuple[str, int, str, str, int]]:
             elif isinstance(s, ast.If):
                 use(s.test, state)
                 state = merge(run(s.body, dict(state)), run(s.orelse, dict(state)))
-            elif isinstance(s, (ast.For, ast.While)):
+            elif isinstance(s, (ast.For, ast.AsyncFor, ast.While)):
                 for _ in range(2):
-                    if isinstance(s, ast.For):
+                    if isinstance(s, ast.While):
+                        use(s.test, state)
+                    else:
                         use(s.iter, state)
                         bind(s.target, loads(s.iter), state)
-                    else:
-                        use(s.test, state)
                     state = merge(state, run(s.body, dict(state)))
                 state = run(s.orelse, state)
-            elif isinstance(s, (ast.With, ast.Try)):
-                for item in getattr(s, "items", []):
+            elif isinstance(s, (ast.With, ast.AsyncWith)):
+                for item in s.items:
                     use(item.context_expr, state)
                     if item.optional_vars is not None:
                         bind(item.optional_vars, loads(item.context_expr), state)
                 state = run(s.body, state)
-                for h in getattr(s, "handlers", []):
-                    state = merge(state, run(h.body, dict(state)))
+            elif isinstance(s, (ast.Try, ast.TryStar)):
+                done = run(s.body, dict(state))
+                failed = merge(state, done)
+                state = run(s.orelse, done)
+                for h in s.handlers:
+                    caught = dict(failed)
+                    if h.type is not None:
+                        use(h.type, caught)
+                    if h.name:
+                        caught[h.name] = {h.lineno}
+                    state = merge(state, run(h.body, caught))
+                state = run(s.finalbody, state)
+            elif isinstance(s, ast.Match):
+                use(s.subject, state)
+                after = dict(state)
+                for case in s.cases:
+                    inner = dict(state)
+                    for p in ast.walk(case.pattern):
+                        name = getattr(p, "rest" if isinstance(p, ast.MatchMapping) else "name", None)
+                        if name:
+                            for x in loads(s.subject):
+                                edges[name, p.lineno, "computedFrom", x.id, x.lineno] = None
+                            inner[name] = {p.lineno}
+                    use(case.pattern, inner)
+                    if case.guard is not None:
+                        use(case.guard, inner)
+                    after = merge(after, run(case.body, inner))
+                state = after
             elif isinstance(s, _DEFINITIONS):
-                state[s.name] = {s.lineno}
+                define(s, state)
             else:
                 use(s, state)
         return state

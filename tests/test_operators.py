@@ -231,6 +231,18 @@ def test_statements_and_stripping():
     assert ("b", 6, "comesFrom", "b", 3) in flow and ("b", 6, "comesFrom", "b", 5) in flow
 
 
+@pytest.mark.parametrize("code, want", [
+    ("a = 1\ndef f(b, c=a):\n    d = b + c\n    return d\nd", {("a", 2, "comesFrom", "a", 1), ("c", 2, "comesFrom", "a", 2), ("b", 3, "comesFrom", "b", 2), ("c", 3, "comesFrom", "c", 2), ("d", 3, "computedFrom", "b", 3), ("d", 3, "computedFrom", "c", 3), ("d", 4, "comesFrom", "d", 3)}),
+    ("class K:\n    x = 1\n    def g(self):\n        return self", {("self", 4, "comesFrom", "self", 3)}),
+    ("try:\n    a = 1\nexcept E as e:\n    print(e)\nelse:\n    b = a\nfinally:\n    a", {("e", 4, "comesFrom", "e", 3), ("a", 6, "comesFrom", "a", 2), ("b", 6, "computedFrom", "a", 6), ("a", 8, "comesFrom", "a", 2)}),
+    ("y = 1\n[x for x in y if x]", {("y", 2, "comesFrom", "y", 1), ("x", 2, "computedFrom", "y", 2), ("x", 2, "comesFrom", "x", 2)}),
+    ("async def f(s):\n    async for x in s:\n        x\n    async with s as t:\n        t", {("s", 2, "comesFrom", "s", 1), ("x", 2, "computedFrom", "s", 2), ("x", 3, "comesFrom", "x", 2), ("s", 4, "comesFrom", "s", 1), ("t", 4, "computedFrom", "s", 4), ("t", 5, "comesFrom", "t", 4)}),
+    ("v = 1\nmatch v:\n    case [p, *q]:\n        p", {("v", 2, "comesFrom", "v", 1), ("p", 3, "computedFrom", "v", 2), ("q", 3, "computedFrom", "v", 2), ("p", 4, "comesFrom", "p", 3)}),
+])
+def test_data_flow_inside_definitions(code, want):
+    assert set(C.dataflow(code)) == want
+
+
 def code_cells(spark, *codes):
     return spark.createDataFrame([("n", i, c) for i, c in enumerate(codes)], "notebook_id string, cell_id int, code string")
 
