@@ -17,6 +17,8 @@ from pyspark.sql.window import Window
 from notebrook.session import written
 
 BLOCK_ROWS = 2048
+#: Queries whose candidates are compared exactly at once: with nothing but copies, QUERY_ROWS * BLOCK_ROWS differences.
+QUERY_ROWS = 64
 
 
 def _blocks(df: DataFrame, key: str, vector: str, name: str) -> tuple[DataFrame, int]:
@@ -47,13 +49,21 @@ def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int)
                 if not same:
                     continue
                 c, ids = np.stack([np.asarray(rv[i], np.float64) for i in same]), np.asarray(ri)[same]
-                d = np.maximum((a * a).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * a @ c.T, 0)
+                norms, others = (a * a).sum(1), (c * c).sum(1)
+                d = np.maximum(norms[:, None] + others[None, :] - 2 * a @ c.T, 0)
                 d[np.asarray(qi)[:, None] == ids[None, :]] = np.inf
-                near = np.argpartition(d, min(k + 8, d.shape[1]) - 1, axis=1)[:, : k + 8]
-                who, which = np.repeat(np.arange(len(a)), near.shape[1]), near.ravel()
-                exact = np.sqrt(((a[who] - c[which]) ** 2).sum(1))
-                keep = np.isfinite(d[who, which])
-                yield pd.DataFrame({"query": np.asarray(qi)[who][keep], "neighbour": ids[which][keep], "distance": exact[keep]})
+                # all rows as near as the k-th, within the rounding of the product: copies are at the same distance, the lower ids go first
+                rounding = 8 * np.finfo(float).eps * a.shape[1] * (norms + others.max())
+                limit = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1] + rounding
+                near = (d <= limit[:, None]) & np.isfinite(d)
+                for start in range(0, len(a), QUERY_ROWS):
+                    who, which = np.nonzero(near[start : start + QUERY_ROWS])
+                    who += start
+                    exact = np.sqrt(((a[who] - c[which]) ** 2).sum(1))
+                    order = np.lexsort((ids[which], exact, who))
+                    who, which, exact = who[order], which[order], exact[order]
+                    keep = np.arange(len(who)) - np.searchsorted(who, who) < k
+                    yield pd.DataFrame({"query": np.asarray(qi)[who][keep], "neighbour": ids[which][keep], "distance": exact[keep]})
 
     found = pairs.select("q_ids", "q_rows", "r_ids", "r_rows").mapInPandas(products, "query bigint, neighbour bigint, distance double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbour"))

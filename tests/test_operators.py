@@ -374,6 +374,15 @@ def test_nearest_equals_brute_force(spark, monkeypatch):
     assert got == sorted(want)
 
 
+def test_nearest_takes_the_lowest_ids_of_many_copies(spark):
+    rng = random.Random(7)
+    rows = [(i, [0.1, 0.7]) for i in range(300)] + [(300 + i, [1.0, float(i)]) for i in range(50)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = sorted((r.query, r["rank"], r.neighbour) for r in retrieval.nearest(df.where("vec_id in (0, 299, 300)"), df, "vec_id", "embedding", 3).collect())
+    assert [(q, i) for q, _, i in got if q < 300] == [(0, 1), (0, 2), (0, 3), (299, 0), (299, 1), (299, 2)]
+
+
 def test_boundary_vector_and_hook(spark):
     assert value(spark, models.boundary_vector(F.array(F.lit(0.2), F.lit(0.7), F.lit(0.1)))) == [0, 1, 1]
     df = models.predict(spark.range(5), lambda b: b["id"] * 0.5, "score")
