@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from notebrook.session import latest
 
@@ -54,6 +56,37 @@ def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def borrowed(books: DataFrame, most: int, columns: int) -> DataFrame:
+    """x, y, from_x, notebook_id: for each bin (x, y), x below ``columns``, the ``most`` lowest notebooks with different ends; a bin that is
+    short goes on with what is left of (x + 1, y), then of the next, before those are filled themselves. books has
+    notebook_id, x, y, ends."""
+    once = books.groupBy("x", "y", "ends").agg(F.min("notebook_id").alias("notebook_id"))
+    # a bin gives to at most ``columns`` bins, each of which takes ``most`` and passes over fewer than ``most``: the lowest are enough
+    enough, salt = most * (columns + 1), F.pmod(F.xxhash64("ends"), F.lit(16)).alias("salt")
+    for keys in (["x", "y", "salt"], ["x", "y"]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("notebook_id", "ends"))
+        once = once.select("*", salt) if "salt" in keys else once
+        once = once.withColumn("r", rank).where(F.col("r") <= enough).drop("r", "salt")
+
+    def fill(rows: pd.DataFrame) -> pd.DataFrame:
+        left = {x: list(zip(g["notebook_id"], g["ends"])) for x, g in rows.sort_values(["notebook_id", "ends"]).groupby("x")}
+        out = []
+        for x in range(columns):
+            seen: set[str] = set()
+            for z in range(x, columns):
+                rest = []
+                for book, ends in left.get(z, ()):
+                    if len(seen) < most and ends not in seen:
+                        seen.add(ends)
+                        out.append((x, rows["y"].iloc[0], z, book))
+                    else:
+                        rest.append((book, ends))
+                left[z] = rest
+        return pd.DataFrame(out, columns=["x", "y", "from_x", "notebook_id"])
+
+    return once.groupBy("y").applyInPandas(fill, "x int, y int, from_x int, notebook_id bigint")
+
+
 def imported_modules(lines: Column) -> Column:
     """Top-level names that a cell's lines import."""
     names = F.transform(lines, lambda x: F.regexp_extract(x, r"^\s*(?:import|from)\s+([A-Za-z_]\w*)", 1))

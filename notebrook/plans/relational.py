@@ -209,6 +209,13 @@ def o06_stratified(spark: SparkSession, d: str) -> DataFrame:
     return once.withColumn("r", rank).where("r <= 16").select("x", "y", "notebook_id")
 
 
+def o06_borrowed(spark: SparkSession, d: str) -> DataFrame:
+    """The reference's sample: the grid of 4 to 35 segments, sixteen notebooks for each (x, y), a short bin filled from x + 1 and on."""
+    books = nested(spark, d, "notebook_id", "segment_ends", "n_ast_children_of_segments").where("size(segment_ends) between 4 and 35 and n_ast_children_of_segments between 1 and 256")
+    books = books.select("notebook_id", ((F.col("n_ast_children_of_segments") - 1) / 32).cast("int").alias("x"), (F.floor(F.size("segment_ends") / 4) - 1).cast("int").alias("y"), F.array_join(F.col("segment_ends").cast("array<string>"), ",").alias("ends"))
+    return R.borrowed(books, 16, 8)
+
+
 def a11_size_grid(spark: SparkSession, d: str) -> DataFrame:
     """Counts by statements (rows) and segments (columns)."""
     books = nested(spark, d, "segments", "n_ast_children_of_segments").where("segments is not null and n_ast_children_of_segments between 1 and 256")
@@ -289,7 +296,7 @@ QUERIES = {
         s05_notebook_scan, j01_nested_cells, j02_materialised_segments, j05_pair_join, j03_semi, j16_anti, u01_union, u03_except, s17_upsert, s19_update,
         s20_cascade_delete, s21_repeated_keys, s11_ingest, s14_refresh_flags, a03_line_counts, a05_statement_sums, a01_records, p03_candidates,
         p02_numeric_keys, p06_eda_by_imports, p08_line_filter, p11_outliers, p13_clean_ends, p17_not_english, p18_with_heading, p24_uses_pandas,
-        o04_page, o05_split, o06_stratified, a11_size_grid, a13_latency, a14_latency_bins, a16_macro_f1, a17_line_agreement, y17_first_difference,
+        o04_page, o05_split, o06_stratified, o06_borrowed, a11_size_grid, a13_latency, a14_latency_bins, a16_macro_f1, a17_line_agreement, y17_first_difference,
         a20_histogram, a21_melt, a19_distinct_kernels, s47_missing_keys, f32_date_features,
     )
 }

@@ -132,6 +132,26 @@ def test_spread_join_equals_join(spark):
 # ---- records
 
 
+def test_short_bins_borrow(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice((0, 0, 1, 2, 2, 3)), rng.randint(0, 1), str(rng.randint(0, 30))) for i in range(400)]
+    rows += [(900 + i, 3, 2, str(i)) for i in range(40)]
+    got = sorted(tuple(r) for r in relational.borrowed(spark.createDataFrame(rows, "notebook_id bigint, x int, y int, ends string"), 12, 4).collect())
+    want, taken = [], set()
+    for y in range(3):
+        for x in range(4):
+            ends = []
+            for z in range(x, 4):
+                for i, a, b, e in rows:
+                    first = min(j for j, *k, f in rows if (*k, f) == (a, b, e))
+                    if (a, b) == (z, y) and i == first and i not in taken and e not in ends and len(ends) < 12:
+                        ends.append(e)
+                        taken.add(i)
+                        want.append((x, y, z, i))
+    assert got == sorted(want)
+    assert [r for r in got if r[1] == 2] == [(x, 2, 3, 900 + 12 * x + i) for x in range(3) for i in range(12)] + [(3, 2, 3, 936 + i) for i in range(4)]
+
+
 def reason(record):
     try:
         records.code_row(record)
