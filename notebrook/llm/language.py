@@ -5,8 +5,8 @@ learned transitions between neighbouring words, marginals by forward-backward. A
 largest share of its words' marginals, weighted by letters; that share is the confidence.
 
 The field is fitted on lines of at most ``SAMPLE_CELLS`` labelled cells (those with the least hash of their key). Labels may
-be wrong, so the sample's are cleaned first: equal lines take their commonest label, then each line the one that the words and
-trigrams of all others under that label speak for. At most ``LINES_PER_LANGUAGE`` lines of a language are fitted.
+be wrong, so the sample's are cleaned first: each line takes the one that its own labels and the words and trigrams of all other
+lines speak for. The ``LINES_PER_LANGUAGE`` commonest lines of a language are fitted.
 
 Nulls: null lines have no language; a null, blank or unknown label is a missing one. Lines with fewer than ten letters
 outside backticks, tags and URLs have no language, a text without any such line none either. Texts are read whole."""
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 LANGUAGES = ("en", "de", "fr", "es", "pt", "it", "nl", "pl", "tr", "ru", "zh", "ja", "ko")
 #: Labelled cells of the sample, lines of a language that the field is fitted on, and words of a line or part of a line.
 SAMPLE_CELLS, LINES_PER_LANGUAGE, TRAINING_WORDS = 5000, 200, 24
+#: Nats between the two best labels of a line of the sample, below which it is unsure.
+MARGIN = 3.0
 DIMENSIONS = 1 << 16
 LEAST_LETTERS = 10
 
@@ -151,11 +153,13 @@ class LanguageField:
     def emissions(self, ids: np.ndarray) -> np.ndarray:
         return self._emissions[ids]
 
+    def forget(self) -> None:
+        """Bounds the table of words; only between batches, as their numbers are in use within one."""
+        if len(self._ids) > 300_000:
+            self._ids.clear()
+
     def word_ids(self, words: list[str]) -> list[int]:
-        ids = self._ids
-        if len(ids) > 300_000:
-            ids.clear()
-        out = []
+        ids, out = self._ids, []
         for w in words:
             i = ids.get(w)
             if i is None:
@@ -168,8 +172,7 @@ class LanguageField:
 
     def shares(self, lines: list[list[str]]) -> np.ndarray:
         """For each line the share of each language in its letters, by the marginals of its words."""
-        if len(self._ids) > 300_000:
-            self._ids.clear()
+        self.forget()
         out = np.zeros((len(lines), len(LANGUAGES)), np.float32)
         coded = [self.word_ids(x) for x in lines]
         order = sorted((i for i in range(len(lines)) if coded[i]), key=lambda i: len(coded[i]))
@@ -246,7 +249,8 @@ def fitted(cells: DataFrame) -> LanguageField:
                 labels.setdefault(tuple(words), Counter())[LANGUAGES.index(label)] += 1
     kept: list[tuple[list[str], int]] = []
     seen: Counter = Counter()
-    for words, y in cleaned([(list(w), c) for w, c in labels.items()]):
+    commonest = sorted(labels.items(), key=lambda x: -sum(x[1].values()))
+    for words, y in cleaned([(list(w), c) for w, c in commonest]):
         if seen[y] < LINES_PER_LANGUAGE:
             seen[y] += 1
             kept.append((words, y))
@@ -254,33 +258,39 @@ def fitted(cells: DataFrame) -> LanguageField:
 
 
 def cleaned(lines: list[tuple[list[str], Counter]], rounds: int = 3) -> list[tuple[list[str], int]]:
-    """Different lines and how often each label stands at them → the lines with the label that a multinomial model of
-    the words and trigrams of all lines gives them. A single occurrence has no vote on itself; unsure lines are left out."""
+    """Different lines and how often each label stands at them → the lines with the language that their own labels and a
+    multinomial model of the words and trigrams of all other lines speak for together. Each label is evidence by how often it
+    stands at lines of a language, so the more often a line occurs the more its labels weigh; in the model a line counts as one
+    text however often it occurs. Lines whose two best languages lie within MARGIN are left out."""
     ids: dict[str, int] = {}
     rows = [[ids.setdefault(x, len(ids)) for w in words for x in (w, *(f"{w}$"[i : i + 3] for i in range(len(w) - 1)))] for words, _ in lines]
     if not rows:
         return []
     flat, sizes = np.concatenate(rows), np.array([len(r) for r in rows])
     owner, starts = np.repeat(np.arange(len(rows)), sizes), np.r_[0, np.cumsum(sizes)[:-1]]
-    k, margin, y = len(LANGUAGES), np.zeros(len(lines)), np.array([c.most_common(1)[0][0] for _, c in lines])
-    times = np.array([sum(c.values()) for _, c in lines])
-    votes = np.zeros((len(lines), k))
+    # how often the line has the feature, at each of its occurrences: what it adds to the counts of its own language
+    _, at, times = np.unique(owner * len(ids) + flat, return_inverse=True, return_counts=True)
+    own, k = times[at], len(LANGUAGES)
+    labels = np.zeros((len(lines), k))
     for j, (_, c) in enumerate(lines):
-        for label, n in c.items():
-            votes[j, label] = min(n, 50)
+        labels[j, list(c)] = list(c.values())
+    votes = labels / labels.sum(1, keepdims=True)
+    expected = np.full((k, k), 0.2 / (k - 1)) + np.eye(k) * (0.8 - 0.2 / (k - 1))
+    confusion = expected
+    # the same rate in every language, however much text it has; a language with next to none has not the text of another
+    unseen, least = 0.5 * k / len(flat), 0.1 * len(flat) / k
     for _ in range(rounds):
-        counts = np.stack([np.bincount(flat, votes[owner, j], len(ids)) for j in range(k)], axis=1)
-        total = counts.sum(0)
-        rate = (np.log(counts + 0.05) - np.log(total + 0.05 * len(ids))).astype(np.float32)
-        score = np.add.reduceat(rate[flat], starts)
-        mine = counts[flat, y[owner]]
-        score[np.arange(len(lines)), y] += np.add.reduceat(np.log(np.maximum(mine - 1, 0) + 0.05) - np.log(mine + 0.05), starts)
-        score[:, total == 0] = -np.inf
-        two = np.sort(score, axis=1)[:, -2:]
-        y, margin = score.argmax(1), (two[:, 1] - two[:, 0]) / sizes
-        votes[:] = 0
-        votes[np.arange(len(lines)), y] = np.minimum(times, 50)
-    return [(words, int(z)) for (words, _), z, m in zip(lines, y, margin) if m > 0.1]
+        score = labels @ np.log(confusion).T
+        for j in range(k):
+            total = sizes @ votes[:, j] - sizes * votes[:, j] + least
+            others = np.bincount(flat, votes[owner, j], len(ids))[flat] - own * votes[owner, j]
+            score[:, j] += np.add.reduceat(np.log(np.maximum(others, 0) / total[owner] + unseen), starts)
+        y = score.argmax(1)
+        votes = np.eye(k)[y]
+        confusion = votes.T @ labels + 100 * expected
+        confusion /= confusion.sum(1, keepdims=True)
+    two = np.sort(score, axis=1)[:, -2:]
+    return [(words, int(z)) for (words, _), z, m in zip(lines, y, two[:, 1] - two[:, 0]) if m > MARGIN]
 
 
 def judged_lines(field: LanguageField, lines: list[str | None]) -> tuple[list[int], np.ndarray]:

@@ -183,6 +183,7 @@ def span_languages(field: LanguageField, texts: list[str]) -> list[list[str]]:
     """The languages of each text in which it has running text (mostly none or one)."""
     parsed = [[w for line in t.split("\n") for w in line_words(line)[0]] for t in texts]
     out: list[list[str]] = [[] for _ in texts]
+    field.forget()
     coded = [field.word_ids(x) for x in parsed]
     order = sorted((i for i in range(len(texts)) if coded[i]), key=lambda i: len(coded[i]))
     bits = field.lexicon
