@@ -235,7 +235,9 @@ def test_trie_shares_prefixes():
 # ---- 7 leaks
 
 
-def test_leaks_equal_brute_force(spark):
+@pytest.mark.parametrize("letters", [leaks.INDEX_LETTERS, 0])
+def test_leaks_equal_brute_force(spark, monkeypatch, letters):
+    monkeypatch.setattr(leaks, "INDEX_LETTERS", letters)
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(60)]
     passages = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(8, 40))) for _ in range(20)]
@@ -249,17 +251,31 @@ def test_leaks_equal_brute_force(spark):
             parts.append(", ".join(p[s : s + n]).upper())
         docs.append((i, " ".join(parts), "extra"))
     docs += [(900, None, ""), (901, "", ""), (902, "ﬁ " * 5, ""), (903, (passages[0] + " ") * 300, ""), docs[0]]
-    items = [(i, p) for i, p in enumerate(passages)] + [(90, None), (91, "short one")]
+    items = [(i, p) for i, p in enumerate(passages)] + [(90, None), (91, "short one"), (None, passages[1]), (3, passages[4])]  # 3 has two passages
     w = lambda t: re.findall(r"\w+", unicodedata.normalize("NFKC", t or "").lower())
     runs = lambda t: {tuple(w(t)[i : i + 12]) for i in range(len(w(t)) - 11)}
     in_docs = [(d, runs(t)) for d, t, _ in docs]
-    want = {(i, d) for i, p in items for d, r in in_docs if runs(p) & r}
+    want = {(i, d) for i, p in items if i is not None for d, r in in_docs if runs(p) & r}
     d, q = spark.createDataFrame(docs, "doc_id bigint, text string, sig string"), spark.createDataFrame(items, "item_id bigint, passage string")
     assert want and {(r["item_id"], r["doc_id"]) for r in leaks.leaked(d, q).collect()} == want
     assert leaks.leaked(d.limit(0), q).count() == 0 and leaks.leaked(d, q.limit(0)).count() == 0
     assert leaks.leak_report(d, q).count() == len({i for i, _ in want})
 
 
+def test_least_case_is_signed_in_documents_of_all_sizes():
+    rng, least = random.Random(6), [f"p{i}" for i in range(leaks.RUN)]
+    missed = total = 0
+    for size in (0, 5, 30, 200, 1500) * 40:
+        least = [f"p{rng.random()}" for _ in range(leaks.RUN)]
+        text = [f"w{rng.random()}" for _ in range(size)]
+        at = rng.randint(0, size)
+        values = set(leaks.signed([text[:at] + least + text[at:]])[1].tolist())
+        shingles = set(leaks.shingle_hashes([least])[1].tolist())
+        rate = len(values & shingles) / len(shingles)
+        missed, total = missed + (rate == 0), total + rate
+    assert missed == 0 and total / 200 > 0.7
+
+
 # ---- 8 encoding
 
 
