@@ -29,9 +29,20 @@ def paged(parents: DataFrame, children: DataFrame, key: str, order: str, name: s
     return out.withColumn(name, F.coalesce(F.col(name), F.array().cast(dict(out.dtypes)[name]))).withColumn("page", F.coalesce("page", F.lit(0)))
 
 
-def spread_join(many: DataFrame, few: DataFrame, key: str, spread: str, salts: int = 16) -> DataFrame:
-    """Inner join where one key may hold a large share of ``many``: its rows are spread by the hash of a column over ``salts``
-    keys, for each of which the row of ``few`` is repeated."""
+#: Rows of the small side up to which it is broadcast, and rows of one key that go to one task.
+FEW, SALT_ROWS = 200_000, 1_000_000
+
+
+def spread_join(many: DataFrame, few: DataFrame, key: str, spread: str, rows: int | None = None) -> DataFrame:
+    """Inner join where one key may hold a large share of ``many``, ``few`` has one short row per key. Up to FEW rows (counted, or given as
+    ``rows``) are broadcast. Beyond that the rows of ``many`` are spread by the hash of a column over as many keys as its largest
+    key has lots of SALT_ROWS, for each of which the row of ``few`` is repeated."""
+    if (few.count() if rows is None else rows) <= FEW:
+        return many.join(F.broadcast(few), key)
+    largest = many.groupBy(key).count().agg(F.max("count").alias("n")).first()["n"] or 0
+    salts = -(-largest // SALT_ROWS)
+    if salts <= 1:
+        return many.join(few, key)
     few = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return many.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(few, [key, "_salt"]).drop("_salt")
 
