@@ -8,9 +8,6 @@ import re
 import sys
 import warnings
 
-sys.setrecursionlimit(max(sys.getrecursionlimit(), 6000))
-
-
 class Bad(Exception):
     """Not in the language."""
 
@@ -261,12 +258,15 @@ def r_error(code: str) -> str | None:
 
 
 def _error(recogniser, code: str) -> str | None:
+    limit = sys.getrecursionlimit()
     try:
+        # no rule goes deeper than a few calls for each character; such calls take no C stack
+        sys.setrecursionlimit(limit + 16 * len(code))
         recogniser(code).program()
     except Bad as e:
         return str(e)
-    except RecursionError:
-        return "nested too deeply"
+    finally:
+        sys.setrecursionlimit(limit)
     return None
 
 

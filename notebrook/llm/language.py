@@ -87,9 +87,10 @@ class LanguageField:
 
     # ---- fitting
 
-    def fit(self, lines: list[tuple[list[str], int]], steps: int = 30) -> LanguageField:
-        """lines: (words, language index). Neighbouring lines are also joined, as text that switches its language."""
-        counts = [Counter(w for words, y in lines if y == i for w in words) for i in range(len(LANGUAGES))]
+    def fit(self, lines: list[tuple[list[str], int]], steps: int = 30, known: list[tuple[list[str], int]] | None = None) -> LanguageField:
+        """lines: (words, language index). Neighbouring lines are also joined, as text that switches its language. known: the lines
+        whose words make the lexicon, if more than these."""
+        counts = [Counter(w for words, y in known or lines if y == i for w in words) for i in range(len(LANGUAGES))]
         self.lexicon = {}
         for i, c in enumerate(counts):
             for w, n in c.most_common(2000):
@@ -250,11 +251,12 @@ def fitted(cells: DataFrame) -> LanguageField:
     kept: list[tuple[list[str], int]] = []
     seen: Counter = Counter()
     commonest = sorted(labels.items(), key=lambda x: -sum(x[1].values()))
-    for words, y in cleaned([(list(w), c) for w, c in commonest]):
+    known = cleaned([(list(w), c) for w, c in commonest])
+    for words, y in known:
         if seen[y] < LINES_PER_LANGUAGE:
             seen[y] += 1
             kept.append((words, y))
-    return LanguageField().fit(kept)
+    return LanguageField().fit(kept, known=known)
 
 
 def cleaned(lines: list[tuple[list[str], Counter]], rounds: int = 3) -> list[tuple[list[str], int]]:
@@ -359,7 +361,7 @@ def wrong_labels(cells: DataFrame, segments: DataFrame) -> DataFrame:
 def label_report(cells: DataFrame) -> DataFrame:
     """Per language as found: cells, mixed ones, missing and wrong labels, mean confidence."""
     field = fitted(cells)
-    found = cell_languages(cells.dropDuplicates(["_id"]), field)
+    found = cell_languages(cells, field)  # a cell that was delivered twice has equal rows: averages and groups are the same
     per_cell = found.groupBy("record_id", "lang", "mixed", "label").agg(F.avg("confidence").alias("c"))
     return per_cell.groupBy("lang").agg(
         F.count("*").alias("cells"), F.count_if("mixed").alias("mixed_cells"), F.count_if(F.col("label").isNull()).alias("unlabelled"),

@@ -157,71 +157,82 @@ def candidate(text: str, kind: str) -> tuple[str, int] | None:
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         number, pk, language, code = (c.to_pylist() for c in b.columns)
-        out: tuple[list, list, list, list] = ([], [], [], [])
+        out: tuple[list, list, list, list, list] = ([], [], [], [], [])
         for n, p, lang, text in zip(number, pk, language, code):
             if not text or ("#" not in text and '"' not in text and "'" not in text):
                 continue
-            for kind, span in code_spans(text, lang):
+            for k, (kind, span) in enumerate(code_spans(text, lang)):
                 found = candidate(span, kind)
                 if found:
-                    for column, value in zip(out, (n, p, *found)):
+                    for column, value in zip(out, (n, p, k, *found)):
                         column.append(value)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string()), pa.array(out[3], pa.int64())],
-            names=["notebook_number", "cell_pk", "span", "n_bytes"],
-        )
+        types = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names=["notebook_number", "cell_pk", "k", "span", "n_bytes"])
 
 
 def spans(cells: DataFrame, notebooks: DataFrame) -> DataFrame:
-    """notebook_number, cell_pk, span, n_bytes, hash: comments and literals that may hold running text."""
+    """notebook_number, cell_pk, k (number in the cell), span, n_bytes, hash: comments and literals that may hold running text."""
     code = cells.where("type = 'code' and content is not null").withColumn("code", F.array_join("content", "\n"))
     joined = with_language(code, notebooks, "code").select("notebook_number", "cell_pk", "language", "code")
-    return joined.mapInArrow(_spans, "notebook_number bigint, cell_pk string, span string, n_bytes bigint").withColumn("hash", F.md5("span"))
+    return joined.mapInArrow(_spans, "notebook_number bigint, cell_pk string, k int, span string, n_bytes bigint").withColumn("hash", F.md5("span"))
 
 
-def span_languages(field: LanguageField, texts: list[str]) -> list[list[str]]:
-    """The languages of each text in which it has running text (mostly none or one)."""
+def span_languages(field: LanguageField, texts: list[str]) -> list[list[tuple[str, float]]]:
+    """The languages of each text in which it has running text (mostly none or one), each with its share of the text's letters. A language
+    with less than a quarter of the words needs LEAST_WORDS of them next to each other."""
     parsed = [[w for line in t.split("\n") for w in line_words(line)[0]] for t in texts]
-    out: list[list[str]] = [[] for _ in texts]
+    out: list[list[tuple[str, float]]] = [[] for _ in texts]
     field.forget()
     coded = [field.word_ids(x) for x in parsed]
     order = sorted((i for i in range(len(texts)) if coded[i]), key=lambda i: len(coded[i]))
-    bits = field.lexicon
-    for a in range(0, len(order), 512):
-        part = order[a : a + 512]
+    at = 0
+    while at < len(order):
+        # texts of about the same length are padded together, long ones in small parts
+        size = max(1, min(512, 512 * 200 // max(len(coded[order[min(at + 511, len(order) - 1)]]), 1)))
+        part = order[at : at + size]
+        at += size
         ids = np.full((len(part), len(coded[part[-1]])), -1)
         for j, i in enumerate(part):
             ids[j, : len(coded[i])] = coded[i]
         gamma, _ = forward_backward(field.emissions(np.maximum(ids, 0)), ids >= 0, field.transitions)
         best = gamma.argmax(2)
         for j, i in enumerate(part):
-            words, labels = parsed[i], best[j, : len(coded[i])].tolist()
-            for x in set(labels):
-                mine = [w for w, y in zip(words, labels) if y == x]
-                name = LANGUAGES[x]
-                if name in ("zh", "ja"):
-                    enough = sum(len(w) for w in mine if _CJK.match(w)) >= LEAST_CHARACTERS
-                else:
-                    enough = len(mine) >= LEAST_WORDS and 4 * len(mine) >= len(words)
-                if enough and sum(bits.get(w, 0) >> x & 1 for w in mine) >= KNOWN * len(mine):
-                    out[i].append(name)
+            out[i] = _running_languages(field.lexicon, parsed[i], best[j, : len(coded[i])])
+    return out
+
+
+def _running_languages(lexicon: dict[str, int], words: list[str], labels: np.ndarray) -> list[tuple[str, float]]:
+    out, letters = [], sum(map(len, words))
+    for x in sorted(set(labels.tolist())):
+        places = np.flatnonzero(labels == x)
+        mine, name = [words[p] for p in places], LANGUAGES[x]
+        if name in ("zh", "ja"):
+            enough = sum(len(w) for w in mine if _CJK.match(w)) >= LEAST_CHARACTERS
+        else:
+            together = len(mine) >= LEAST_WORDS and bool((places[LEAST_WORDS - 1 :] - places[: 1 - LEAST_WORDS] == LEAST_WORDS - 1).any())
+            enough = together or (len(mine) >= LEAST_WORDS and 4 * len(mine) >= len(words))
+        if enough and sum(lexicon.get(w, 0) >> x & 1 for w in mine) >= KNOWN * len(mine):
+            out.append((name, sum(map(len, mine)) / letters))
     return out
 
 
 def _classified(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         hashes, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-        pairs = [(h, x) for h, found in zip(hashes, span_languages(shared.value, texts)) for x in found]
-        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in pairs], pa.string()), pa.array([x for _, x in pairs], pa.string())], names=["hash", "lang"])
+        rows = [(h, *x) for h, found in zip(hashes, span_languages(shared.value, texts)) for x in found]
+        types = (("hash", pa.string()), ("lang", pa.string()), ("part", pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, (_, t) in enumerate(types)], names=[n for n, _ in types])
 
 
 def labelled_spans(cells: DataFrame, notebooks: DataFrame, field: LanguageField) -> DataFrame:
-    """notebook_number, cell_pk, hash, n_bytes, lang of the spans with running text."""
+    """notebook_number, cell_pk, k, hash, n_bytes, lang of the spans with running text; the bytes of a span in several languages are shared
+    among them by letters."""
     found = written(spans(cells, notebooks), "spans")  # read twice below: the code is gone through once
     # equal hashes are equal texts, so this keeps one row per hash and combines before the shuffle
     distinct = found.select("hash", "span").distinct()
-    labels = distinct.mapInArrow(partial(_classified, cells.sparkSession.sparkContext.broadcast(field)), "hash string, lang string")
-    return found.select("notebook_number", "cell_pk", "hash", "n_bytes").join(labels, "hash")
+    labels = distinct.mapInArrow(partial(_classified, cells.sparkSession.sparkContext.broadcast(field)), "hash string, lang string, part double")
+    joined = found.select("notebook_number", "cell_pk", "k", "hash", "n_bytes").join(labels, "hash")
+    return joined.withColumn("n_bytes", F.floor(F.col("n_bytes") * F.col("part"))).drop("part")
 
 
 def prose_in_cells(cells: DataFrame, notebooks: DataFrame) -> DataFrame:
@@ -229,14 +240,16 @@ def prose_in_cells(cells: DataFrame, notebooks: DataFrame) -> DataFrame:
 
 
 def prose_shares(cells: DataFrame, notebooks: DataFrame) -> DataFrame:
-    """notebook_id, lang, spans, distinct_spans, text_bytes, code_bytes, share of the notebook's code."""
-    once = cells.dropDuplicates(["_id"])
-    labelled = labelled_spans(once, notebooks, fitted(cells))
+    """notebook_id, lang, spans, distinct_spans, text_bytes, code_bytes, share of the notebook's code, and stripped_bytes, the bytes of
+    content_no_comment where it is there. Code that is delivered twice is equal, so sizes and spans are deduplicated, not the code."""
+    labelled = labelled_spans(cells, notebooks, fitted(cells)).dropDuplicates(["cell_pk", "k", "lang"])
     text = labelled.groupBy("notebook_number", "lang", "hash").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("b"))
     text = text.groupBy("notebook_number", "lang").agg(F.sum("n").alias("spans"), F.count("*").alias("distinct_spans"), F.sum("b").alias("text_bytes"))
-    code = with_language(once.where("type = 'code'").withColumn("b", F.octet_length(F.array_join("content", "\n"))), notebooks, "b")
-    size = code.groupBy("notebook_number").agg(F.sum("b").alias("code_bytes"))
+    bytes_of = lambda c: F.octet_length(F.array_join(c, "\n"))
+    sizes = cells.where("type = 'code'").select("_id", "notebook_id", bytes_of("content").alias("b"), bytes_of("content_no_comment").alias("s"))
+    sizes = sizes.groupBy("_id", "notebook_id").agg(F.max("b").alias("b"), F.max("s").alias("s"))
+    size = with_language(sizes, notebooks, "b", "s").groupBy("notebook_number").agg(F.sum("b").alias("code_bytes"), F.sum("s").alias("stripped_bytes"))
     return text.join(size, "notebook_number").select(
         F.col("notebook_number").alias("notebook_id"), "lang", "spans", "distinct_spans", "text_bytes", "code_bytes",
-        F.round(F.col("text_bytes") / F.col("code_bytes"), 6).alias("share"),
+        F.round(F.col("text_bytes") / F.col("code_bytes"), 6).alias("share"), "stripped_bytes",
     )

@@ -8,36 +8,36 @@ count once."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notebrook.llm.grammars import diagnose
-
-SALTS = 24
-
+from notebrook.operators.relational import spread_join
 
 def with_language(cells: DataFrame, notebooks: DataFrame, *columns: str) -> DataFrame:
-    """Cells with their notebook's language, number and repository. One notebook may hold a third of all cells, so its
-    rows are spread over SALTS keys and the few notebook columns are repeated for each."""
+    """Cells with their notebook's language, number and repository. One notebook may hold a third of all cells: see spread_join. The
+    columns of the cells are not shuffled where the notebooks are few enough to be broadcast."""
     books = (
         notebooks.groupBy(F.col("_id").alias("notebook_pk"))
         .agg(F.max(F.struct("loaded_at", F.col("notebook_id").alias("number"), "language", "repository")).alias("n"))
         .select("notebook_pk", F.col("n.number").alias("notebook_number"), F.lower("n.language").alias("language"), "n.repository")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    )
-    return (
-        cells.select(F.col("_id").alias("cell_pk"), F.col("notebook_id").alias("notebook_pk"), *columns)
-        .withColumn("salt", F.pmod(F.xxhash64("cell_pk"), F.lit(SALTS)).cast("int"))
-        .join(books, ["notebook_pk", "salt"])
-        .drop("salt")
     )
+    slim = cells.select(F.col("_id").alias("cell_pk"), F.col("notebook_id").alias("notebook_pk"), *columns)
+    return spread_join(slim, books, "notebook_pk", "cell_pk", rows=notebooks.count())
+
+
+#: Results kept for code that comes again in the same task, and the longest code of which they are kept.
+KNOWN, KNOWN_LENGTH = 20_000, 4_000
+_known = lru_cache(KNOWN)(diagnose)
 
 
 def _diagnosed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = [diagnose(code, language) for code, language in zip(b.column(4).to_pylist(), b.column(2).to_pylist())]
+        pairs = zip(b.column(4).to_pylist(), b.column(2).to_pylist())
+        found = [(_known if len(code) <= KNOWN_LENGTH else diagnose)(code, language) for code, language in pairs]
         new = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.bool_(), pa.string(), pa.list_(pa.string())))]
         yield pa.RecordBatch.from_arrays([*b.columns[:4], *new], names=["notebook_number", "cell_pk", "language", "repository", "valid", "reason", "accepted"])
 
@@ -59,7 +59,8 @@ def invalid_notebooks(cells: DataFrame, notebooks: DataFrame) -> DataFrame:
 
 def syntax_rates(cells: DataFrame, notebooks: DataFrame) -> DataFrame:
     """Share of invalid cells and of damaged notebooks per repository and language."""
-    per_cell = cell_syntax(cells.dropDuplicates(["_id"]), notebooks)
+    # repeated deliveries are equal: they are judged where they are read, and only the verdicts are deduplicated
+    per_cell = cell_syntax(cells, notebooks).select("repository", "language", "notebook_number", "cell_pk", "valid", "parses_as").dropDuplicates(["cell_pk"])
     per_book = per_cell.groupBy("repository", "language", "notebook_number").agg(
         F.count("*").alias("n"), F.count_if(~F.col("valid")).alias("bad"), F.count_if(F.col("parses_as").isNotNull()).alias("foreign")
     )
