@@ -167,3 +167,34 @@ def without_ranges(text: Column, ranges: Column) -> Column:
         F.concat(s["kept"], F.substring(text, s["at"] + 1, F.greatest(F.lit(0), r["begin"] - s["at"]))).alias("kept"), r["end"].alias("at")
     )
     return F.aggregate(ranges, F.struct(F.lit("").alias("kept"), F.lit(0).alias("at")), step, lambda s: F.concat(s["kept"], F.substring(text, s["at"] + 1, F.length(text))))
+
+
+def span_text(lines: Column, line: Column, column: Column, end_line: Column, end_column: Column, joint: str = "\n") -> Column:
+    """Text of the span from (line, column) to before (end_line, end_column), counted from 0, its lines joined by ``joint``."""
+    first, last = F.try_element_at(lines, line + 1), F.try_element_at(lines, end_line + 1)
+    between = F.slice(lines, line + 2, F.greatest(end_line - line - 1, F.lit(0)))
+    several = F.array_join(F.concat(F.array(F.substring(first, column + 1, F.length(first))), between, F.array(F.substring(last, F.lit(1), end_column))), joint)
+    return F.when(line == end_line, F.substring(first, column + 1, end_column - column)).otherwise(several)
+
+
+def character_span(text: Column, begin: Column, end: Column) -> Column:
+    """The characters [begin, end) of a text."""
+    return F.substring(text, begin + 1, end - begin)
+
+
+def without_c_comments(text: Column) -> Column:
+    """Code of a C-like language without // and /* */ comments, a space for each; quoted strings stay, blank lines go."""
+    literal = r'("(?:\\(?:.|\n)|[^\\"])*+"|' + r"'(?:\\(?:.|\n)|[^\\'])*+')"
+    marked = F.regexp_replace(text, literal + r"|//[^\n]*|/\*(?s:.*?)\*/", "$1\x01")
+    spaced = F.replace(F.regexp_replace(marked, "([\"'])\x01", "$1"), F.lit("\x01"), F.lit(" "))
+    return F.array_join(F.filter(F.split(spaced, "\n"), lambda x: x.rlike(r"\S")), "\n")
+
+
+def valid_rows(ranges: list[Column], columns: list[Column]) -> Column:
+    """Whether all ranges hold or no column is null; an unknown range does not hold."""
+    holds, whole = F.lit(True), F.lit(True)
+    for r in ranges:
+        holds = holds & F.coalesce(r, F.lit(False))
+    for c in columns:
+        whole = whole & c.isNotNull()
+    return holds | whole

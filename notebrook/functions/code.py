@@ -7,7 +7,8 @@ import builtins
 import io
 import tokenize
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 BUILTINS = frozenset(dir(builtins))
 _DEFINITIONS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
@@ -259,8 +260,12 @@ def tree_nodes(code: str | None, depth: int = 4) -> list[tuple[int, int, int, in
 def dataflow(code: str | None) -> list[tuple[str, int, str, str, int]]:
     """(name, line, relation, source name, source line): computedFrom between the sides of an assignment, comesFrom between
     a use and the definitions that reach it. Branches are merged, loop bodies are gone through twice."""
-    tree = parsed(code)
-    edges: dict[tuple[str, int, str, str, int], None] = {}
+    return flow_between(parsed(code), lambda node: node.lineno)
+
+
+def flow_between(tree: ast.Module | None, place: Callable[[ast.AST], Any]) -> list[tuple]:
+    """The rows of ``dataflow`` with the places of the names as ``place`` gives them."""
+    edges: dict[tuple, None] = {}
 
     def loads(node) -> list[ast.Name]:
         return [n for n in ast.walk(node) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Load)]
@@ -272,7 +277,7 @@ def dataflow(code: str | None) -> list[tuple[str, int, str, str, int]]:
             if isinstance(n, ast.Name):
                 if isinstance(n.ctx, ast.Load):
                     for line in sorted(state.get(n.id, ())):
-                        edges[n.id, n.lineno, "comesFrom", n.id, line] = None
+                        edges[n.id, place(n), "comesFrom", n.id, line] = None
             elif isinstance(n, (ast.ListComp, ast.SetComp, ast.GeneratorExp, ast.DictComp)):
                 inner = dict(state)
                 for g in n.generators:
@@ -294,8 +299,8 @@ def dataflow(code: str | None) -> list[tuple[str, int, str, str, int]]:
         for t in ast.walk(target):
             if isinstance(t, ast.Name) and isinstance(t.ctx, ast.Store):
                 for s in sources:
-                    edges[t.id, t.lineno, "computedFrom", s.id, s.lineno] = None
-                state[t.id] = {t.lineno}
+                    edges[t.id, place(t), "computedFrom", s.id, place(s)] = None
+                state[t.id] = {place(t)}
 
     def parameters(args, state):
         """The state inside a function; a parameter comes from the names of its default."""
@@ -304,12 +309,12 @@ def dataflow(code: str | None) -> list[tuple[str, int, str, str, int]]:
         defaults = [*zip(positional[len(positional) - len(args.defaults) :], args.defaults), *zip(args.kwonlyargs, args.kw_defaults)]
         for p in (*positional, *args.kwonlyargs, args.vararg, args.kwarg):
             if p is not None:
-                inner[p.arg] = {p.lineno}
+                inner[p.arg] = {place(p)}
         for p, default in defaults:
             if default is not None:
                 use(default, state)
                 for s in loads(default):
-                    edges[p.arg, p.lineno, "comesFrom", s.id, s.lineno] = None
+                    edges[p.arg, place(p), "comesFrom", s.id, place(s)] = None
         return inner
 
     def define(s, state):
@@ -320,14 +325,14 @@ def dataflow(code: str | None) -> list[tuple[str, int, str, str, int]]:
             for x in (*s.bases, *(k.value for k in s.keywords)):
                 use(x, state)
             run(s.body, dict(state))
-            state[s.name] = {s.lineno}
+            state[s.name] = {place(s)}
         else:
             for x in (*(p.annotation for p in (*s.args.posonlyargs, *s.args.args, *s.args.kwonlyargs, s.args.vararg, s.args.kwarg) if p), s.returns):
                 if x is not None:
                     use(x, state)
             inner = parameters(s.args, state)
-            state[s.name] = {s.lineno}
-            run(s.body, {s.name: {s.lineno}} | inner)
+            state[s.name] = {place(s)}
+            run(s.body, {s.name: {place(s)}} | inner)
 
     def merge(a, b):
         return {k: a.get(k, set()) | b.get(k, set()) for k in a.keys() | b.keys()}
@@ -367,7 +372,7 @@ def dataflow(code: str | None) -> list[tuple[str, int, str, str, int]]:
                     if h.type is not None:
                         use(h.type, caught)
                     if h.name:
-                        caught[h.name] = {h.lineno}
+                        caught[h.name] = {place(h)}
                     state = merge(state, run(h.body, caught))
                 state = run(s.finalbody, state)
             elif isinstance(s, ast.Match):
@@ -379,8 +384,8 @@ def dataflow(code: str | None) -> list[tuple[str, int, str, str, int]]:
                         name = getattr(p, "rest" if isinstance(p, ast.MatchMapping) else "name", None)
                         if name:
                             for x in loads(s.subject):
-                                edges[name, p.lineno, "computedFrom", x.id, x.lineno] = None
-                            inner[name] = {p.lineno}
+                                edges[name, place(p), "computedFrom", x.id, place(x)] = None
+                            inner[name] = {place(p)}
                     use(case.pattern, inner)
                     if case.guard is not None:
                         use(case.guard, inner)

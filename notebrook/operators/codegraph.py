@@ -86,6 +86,20 @@ def graph_json(links: DataFrame, groups: DataFrame) -> DataFrame:
     return nodes.join(arcs, "notebook_id", "left").select("notebook_id", F.to_json(F.struct("nodes", F.coalesce("links", F.expr("array()").cast(dict(arcs.dtypes)["links"])).alias("links"))).alias("graph"))
 
 
+def layers(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """node, root, depth: breadth first from each root along edges (parent, child) until nothing new is found. A node is in the layer of
+    its shortest way from the root; cycles and several ways to a node are met once."""
+    edges = written(edges.select("parent", "child").where("parent is not null and child is not null").distinct(), "edges")
+    found = written(roots.select("node", "root", F.lit(0).alias("depth")).where("node is not null").distinct(), "layers")
+    frontier, depth = found, 0
+    while not frontier.isEmpty():
+        depth += 1
+        reached = edges.join(frontier.select(F.col("node").alias("parent"), "root"), "parent").select(F.col("child").alias("node"), "root").distinct()
+        frontier = written(reached.join(found, ["node", "root"], "left_anti").withColumn("depth", F.lit(depth)), "layers")
+        found = found.unionByName(frontier)
+    return found
+
+
 def symbols(cells: DataFrame) -> DataFrame:
     """notebook_id, cell_id, role (makes, needs), name, space (var, fun)."""
 

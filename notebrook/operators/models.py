@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
@@ -33,28 +32,24 @@ def held_out(df: DataFrame, key: str, share: int = 80) -> tuple[DataFrame, DataF
     return df.where(h < share), df.where(h >= share)
 
 
-def vector_accuracy(vectors: DataFrame, kind: str) -> tuple[float, int]:
-    """Held-out accuracy of a tree model of ``label`` on ``embedding``, and the rows it was measured on."""
+def vector_guesses(vectors: DataFrame, kind: str) -> DataFrame:
+    """vec_id, label, guess of the held-out rows, by a tree model of ``label`` on ``embedding``. Boosting knows two classes: odd and even labels."""
     data = vectors.where("embedding is not null and label is not null").select("vec_id", array_to_vector("embedding").alias("features"), F.col("label").cast("double").alias("label"))
     if kind == "boosting":
         data = data.withColumn("label", (F.col("label") % 2).cast("double"))
     train, test = held_out(data, "vec_id")
-    guessed = tree_model(kind).fit(train).transform(test).cache()
-    accuracy = MulticlassClassificationEvaluator(metricName="accuracy").evaluate(guessed)
-    n = guessed.count()
-    guessed.unpersist()
-    return accuracy, n
+    return tree_model(kind).fit(train).transform(test).select("vec_id", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("guess"))
 
 
-def regression_error(df: DataFrame, key: str, features: list[str], label: str) -> tuple[float, float]:
-    """Held-out root mean square error of a linear regression, and of guessing the mean."""
-    data = df.dropna(subset=[*features, label])
-    train, test = held_out(data, key)
+def accuracy(guesses: DataFrame) -> float:
+    return guesses.agg(F.avg((F.col("label") == F.col("guess")).cast("double"))).first()[0]
+
+
+def regression_guesses(df: DataFrame, key: str, features: list[str], label: str) -> DataFrame:
+    """The held-out rows with ``guess``, of a linear regression fitted on the others."""
+    train, test = held_out(df.dropna(subset=[*features, label]), key)
     model = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), LinearRegression(labelCol=label)]).fit(train)
-    error = RegressionEvaluator(labelCol=label, metricName="rmse").evaluate(model.transform(test))
-    mean = train.agg(F.avg(label)).first()[0]
-    base = test.agg(F.sqrt(F.avg((F.col(label) - F.lit(mean)) ** 2))).first()[0]
-    return error, base
+    return model.transform(test).drop("features").withColumnRenamed("prediction", "guess")
 
 
 def predict(df: DataFrame, function: Callable[[pd.DataFrame], pd.Series], output: str, kind: str = "double") -> DataFrame:

@@ -12,14 +12,13 @@ from notebrook.operators import codegraph, ordered
 from notebrook.plans.codequeries import python_cells
 from notebrook.plans.corpus import SQL, cells, nested, notebooks
 from notebrook.plans.vectors import j15_nearest
-from notebrook.session import ensure_checkpoint_dir, table
+from notebrook.session import ensure_checkpoint_dir, table, written
 
 
 def _predicted(spark: SparkSession, d: str) -> DataFrame:
     """Code cells with lines and whether a predictor closes a segment after them: every third of the first ten, then all."""
-    size = cells(spark, d, "notebook_id", "cell_id", "type", "content").where("type = 'code'").select("notebook_id", "cell_id", F.coalesce(F.size("content"), F.lit(0)).alias("lines"))
-    at = ordered.gap_segments(cells(spark, d, "notebook_id", "cell_id", "type"))
-    return at.join(size, ["notebook_id", "cell_id"]).withColumn("closes", ((F.col("pos") >= 10) | (F.col("pos") % 3 == 2)).cast("int"))
+    at = ordered.gap_segments(cells(spark, d, "notebook_id", "cell_id", "type", F.coalesce(F.size("content"), F.lit(0)).alias("lines")), "lines")
+    return at.withColumn("closes", ((F.col("pos") >= 10) | (F.col("pos") % 3 == 2)).cast("int"))
 
 
 def w13_built_from_cell_ends(spark: SparkSession, d: str) -> DataFrame:
@@ -43,8 +42,8 @@ def w15_line_ends(spark: SparkSession, d: str) -> DataFrame:
 def w22_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of a hundred notebooks of a source in the order of their numbers."""
     books = nested(spark, d, "notebook_id", "dataset").select("dataset", "notebook_id").distinct()
-    out = ordered.running(books, "dataset", "notebook_id", rank=("sum", F.lit(1), False))
-    return out.groupBy("dataset", F.floor(F.col("rank") / 100).alias("chunk")).agg(F.count("*").alias("n"), F.min("notebook_id").alias("first"), F.max("notebook_id").alias("last"))
+    out = ordered.running(books, "dataset", "notebook_id", block=None, rank=("sum", F.lit(1), False))
+    return out.groupBy("dataset", F.floor(F.coalesce("rank", F.lit(0)) / 100).alias("chunk")).agg(F.count("*").alias("n"), F.min("notebook_id").alias("first"), F.max("notebook_id").alias("last"))
 
 
 def w24_line_ranges(spark: SparkSession, d: str) -> DataFrame:
@@ -66,14 +65,15 @@ def p15_ground_truth(spark: SparkSession, d: str) -> DataFrame:
     """Code lines of the segments without blank ones and trailing spaces, and cleaned ends."""
     code = F.flatten(F.transform("segments", lambda s: F.flatten(F.transform(F.filter(s["cells"], lambda c: c["type"] == "code"), lambda c: c["content"]))))
     lines = F.filter(F.transform(code, lambda x: F.rtrim(x)), lambda x: x != "")
-    books = nested(spark, d, "segments", "segment_ends").where("segments is not null and segment_ends is not null")
-    return books.select("_id", F.size(lines).cast("bigint").alias("n_lines"), F.md5(F.array_join(lines, "\n")).alias("digest"), F.array_join(A.ordered_ends(F.col("segment_ends")).cast("array<string>"), ",").alias("ends"))
+    books = table(spark, d, "notebooksegments").where("segments is not null and segment_ends is not null")
+    ends = F.array_join(A.ordered_ends(F.col("segment_ends")).cast("array<string>"), ",")
+    return books.select("_id", F.size(lines).cast("bigint").alias("n_lines"), F.md5(F.array_join(lines, "\n")).alias("digest"), ends.alias("ends")).distinct()
 
 
 def j10_heading_after_code(spark: SparkSession, d: str) -> DataFrame:
     """Whether some heading follows some code: the first code cell stands before the last heading."""
-    c = cells(spark, d, "notebook_id", "cell_id", "type", "content")
-    heading = (F.col("type") == "markdown") & F.exists("content", lambda x: F.startswith(x, F.lit("#")))
+    c = cells(spark, d, "notebook_id", "cell_id", "type", ordered.has_heading(F.col("content")).alias("heading"))
+    heading = (F.col("type") == "markdown") & F.col("heading")
     per_book = c.groupBy("notebook_id").agg(F.min(F.when(F.col("type") == "code", F.col("cell_id"))).alias("code"), F.max(F.when(heading, F.col("cell_id"))).alias("heading"))
     return per_book.select("notebook_id", F.coalesce(F.col("code") < F.col("heading"), F.lit(False)).alias("after"))
 
@@ -85,7 +85,7 @@ def a18_repeatable_cells(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a08_cell_edges(spark: SparkSession, d: str) -> DataFrame:
-    code = python_cells(spark, d)
+    code = written(python_cells(spark, d), "code")
     links = codegraph.edges(codegraph.references(code), code.select("notebook_id", "cell_id", F.col("cell_id").alias("segment_id")))
     return links.select("notebook_id", "source", "target", F.array_join("names", ",").alias("names"))
 

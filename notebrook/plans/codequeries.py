@@ -49,7 +49,7 @@ def t07_references(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _links(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    code = python_cells(spark, d)
+    code = written(python_cells(spark, d), "code")
     groups = written(ordered.gap_segments(code.withColumn("type", F.lit("code"))).select("notebook_id", "cell_id", "segment_id"), "groups")
     return G.edges(G.references(code), groups), groups
 
@@ -138,16 +138,11 @@ def t13_edit_distance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def t34_layers(spark: SparkSession, d: str) -> DataFrame:
-    """Layers of the tree region → nation → customer, breadth first by repeated joins on the edge list."""
-    e1 = table(spark, d, "nation").select(F.concat(F.lit("r"), "n_regionkey").alias("parent"), F.concat(F.lit("n"), "n_nationkey").alias("child"))
-    e2 = table(spark, d, "customer").select(F.concat(F.lit("n"), "c_nationkey").alias("parent"), F.concat(F.lit("c"), "c_custkey").alias("child"))
-    edges = e1.unionByName(e2)
-    layer = table(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("node"), F.concat(F.lit("r"), "r_regionkey").alias("root"))
-    out = layer.withColumn("depth", F.lit(0))
-    for depth in (1, 2):
-        layer = edges.join(layer.withColumnRenamed("node", "parent"), "parent").select(F.col("child").alias("node"), "root")
-        out = out.unionByName(layer.withColumn("depth", F.lit(depth)))
-    return out.groupBy("root", "depth").agg(F.count("*").alias("n"))
+    """Layers of the graph region → nation → customer → order, breadth first."""
+    of = lambda name, parent, child: table(spark, d, name).select(F.concat(F.lit(parent[0]), parent[1]).alias("parent"), F.concat(F.lit(child[0]), child[1]).alias("child"))
+    edges = of("nation", ("r", "n_regionkey"), ("n", "n_nationkey")).unionByName(of("customer", ("n", "c_nationkey"), ("c", "c_custkey"))).unionByName(of("orders", ("c", "o_custkey"), ("o", "o_orderkey")))
+    region = F.concat(F.lit("r"), "r_regionkey")
+    return G.layers(edges, table(spark, d, "region").select(region.alias("node"), region.alias("root"))).groupBy("root", "depth").agg(F.count("*").alias("n"))
 
 
 QUERIES = {
@@ -159,7 +154,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
-    "t34_layers": """WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS p, 'n' || n_nationkey AS c FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer),
+    "t34_layers": """WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS p, 'n' || n_nationkey AS c FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders),
 t AS (SELECT 'r' || r_regionkey AS node, 'r' || r_regionkey AS root, 0 AS depth FROM region UNION ALL SELECT e.c, t.root, t.depth + 1 FROM t JOIN e ON t.node = e.p)
 SELECT root, depth, count(*) AS n FROM t GROUP BY ALL""",
 }

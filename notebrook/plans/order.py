@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from notebrook.functions import arrays as A
 from notebrook.operators import ordered
 from notebrook.plans.corpus import SQL, cells, nested
-from notebrook.session import table
+from notebrook.session import latest, table
 from pyspark.sql.window import Window
 
 
@@ -28,7 +28,8 @@ def w03_gap_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _headed(spark: SparkSession, d: str) -> DataFrame:
-    return ordered.heading_segments(cells(spark, d, "notebook_id", "cell_id", "type", "content"))
+    slim = (ordered.has_heading(F.col("content")).alias("heading"), F.size("content").alias("lines"))
+    return ordered.heading_segments(cells(spark, d, "notebook_id", "cell_id", "type", *slim))
 
 
 def w05_heading_segments(spark: SparkSession, d: str) -> DataFrame:
@@ -36,8 +37,11 @@ def w05_heading_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def w06_segment_prompts(spark: SparkSession, d: str) -> DataFrame:
-    out = ordered.prompts(_headed(spark, d))
-    return out.select("notebook_id", "segment_id", F.size("prompts").cast("bigint").alias("n_prompts"), F.array_join("prompts", "\n").alias("prompts"))
+    """Prompts in pages of a thousand cell numbers. Order is found on slim rows; the text is shuffled to its cell and to its page."""
+    slim = (ordered.has_heading(F.col("content")).alias("heading"), F.size("content").alias("lines"))
+    newest = latest(table(spark, d, "cell").select("_id", "notebook_id", "cell_id", "type", *slim, "loaded_at"), ["_id"], "loaded_at")
+    out = ordered.prompts(newest, table(spark, d, "cell").select("_id", "loaded_at", "content"), ["_id", "loaded_at"])
+    return out.select("notebook_id", "segment_id", "page", F.size("prompts").cast("bigint").alias("n_prompts"), F.array_join("prompts", "\n").alias("prompts"))
 
 
 def w07_running_ends(spark: SparkSession, d: str) -> DataFrame:
@@ -121,12 +125,13 @@ ORACLE_SQL = {
 SELECT notebook_id, e AS "end" FROM e QUALIFY segment_id < max(segment_id) OVER (PARTITION BY notebook_id)""",
     "w03_gap_segments": SQL + "x AS (SELECT 1) SELECT notebook_id, segment_id, count(*) AS n_cells, min(cell_id) AS first_cell, max(cell_id) AS last_cell, max(pos) AS last_pos FROM gapped GROUP BY ALL",
     "w05_heading_segments": SQL + _SUMMARY + " SELECT *, n_code > 0 AS has_code FROM summary",
-    "w06_segment_prompts": SQL + """lines AS (SELECT notebook_id, segment_id, cell_id, i, CASE WHEN type = 'code' THEN '$CODE$' ELSE content[i] END AS line
-  FROM headed, unnest(range(1, CASE WHEN type = 'code' THEN 2 ELSE coalesce(len(content), 0) + 1 END)) AS t(i)),
-marked AS (SELECT *, lag(line) OVER (PARTITION BY notebook_id, segment_id ORDER BY cell_id, i) AS before FROM lines),
-groups AS (SELECT DISTINCT notebook_id, segment_id FROM headed),
-joined AS (SELECT notebook_id, segment_id, count(*) AS n, string_agg(line, chr(10) ORDER BY cell_id, i) AS p FROM marked WHERE NOT (line = '$CODE$' AND before IS NOT DISTINCT FROM line) GROUP BY ALL)
-SELECT g.notebook_id, g.segment_id, coalesce(n, 0) AS n_prompts, coalesce(p, '') AS prompts FROM groups g LEFT JOIN joined j ON g.notebook_id = j.notebook_id AND g.segment_id = j.segment_id""",
+    "w06_segment_prompts": SQL + """emit AS (SELECT *, lag(type) OVER (PARTITION BY notebook_id, segment_id ORDER BY cell_id) AS before FROM headed WHERE type = 'code' OR len(content) > 0),
+lines AS (SELECT notebook_id, segment_id, cell_id, i, CASE WHEN type = 'code' THEN '$CODE$' ELSE content[i] END AS line
+  FROM emit, unnest(range(1, CASE WHEN type = 'code' THEN 2 ELSE len(content) + 1 END)) AS t(i) WHERE NOT (type = 'code' AND before IS NOT DISTINCT FROM 'code')),
+groups AS (SELECT DISTINCT notebook_id, segment_id, (cell_id // 1000)::BIGINT AS page FROM headed),
+joined AS (SELECT notebook_id, segment_id, (cell_id // 1000)::BIGINT AS page, count(*) AS n, string_agg(line, chr(10) ORDER BY cell_id, i) AS p FROM lines GROUP BY ALL)
+SELECT g.notebook_id, g.segment_id, g.page, coalesce(n, 0) AS n_prompts, coalesce(p, '') AS prompts
+FROM groups g LEFT JOIN joined j ON g.notebook_id = j.notebook_id AND g.segment_id = j.segment_id AND g.page = j.page""",
     "w07_running_ends": SQL + _SUMMARY + """ SELECT notebook_id, segment_id, (sum(n_code) OVER w - 1)::BIGINT AS cell_end, (sum(n_lines) OVER w - 1)::BIGINT AS line_end
 FROM summary WHERE n_code > 0 WINDOW w AS (PARTITION BY notebook_id ORDER BY segment_id)""",
     "w08_ends_from_nested": SQL + """s AS (SELECT _id, i, len(list_filter(segments[i].cells, lambda c: c.type = 'code')) AS n FROM nested, unnest(range(1, len(segments) + 1)) AS t(i) WHERE segments[i].has_code),

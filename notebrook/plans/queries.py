@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from notebrook.plans import boundaries, codequeries, ingest, order, relational, vectors
+from notebrook.plans import boundaries, codequeries, files, ingest, order, relational, tokens, vectors
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _module in (ingest, order, relational, codequeries, vectors, boundaries):
+for _module in (ingest, order, relational, codequeries, vectors, boundaries, tokens, files):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL

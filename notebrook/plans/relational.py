@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from notebrook.functions import arrays as A
 from notebrook.operators import relational as R
-from notebrook.operators.ordered import running
+from notebrook.operators.ordered import has_heading, running
 from notebrook.plans.corpus import SQL, cells, nested, notebooks, segments
 from notebrook.session import table
 
@@ -27,15 +27,15 @@ def j01_nested_cells(spark: SparkSession, d: str) -> DataFrame:
 
 
 def j02_materialised_segments(spark: SparkSession, d: str) -> DataFrame:
-    """notebook → segments → cells, nested again; notebooks without segments drop out."""
+    """notebook → segments → cells, nested again in pages of a thousand cell numbers, so that no row grows with a segment; notebooks without
+    segments drop out, segments without known cells keep an empty page."""
     books = notebooks(spark, d, "notebook_id", "segments").where("size(segments) > 0").select("notebook_id", F.explode("segments").alias("segment"))
     parts = segments(spark, d, "segment_id", "has_code", "cells").select(F.col("_id").alias("segment"), "segment_id", "has_code", F.explode_outer("cells").alias("cell"))
     kids = cells(spark, d, "cell_id", "type").select(F.col("_id").alias("cell"), "cell_id", "type")
-    flat = books.join(parts, "segment").join(kids, "cell", "left")
-    per_segment = flat.groupBy("notebook_id", "segment_id", "has_code").agg(F.array_sort(F.collect_list(F.struct("cell_id", "type"))).alias("cells"))
-    per_book = per_segment.groupBy("notebook_id").agg(F.array_sort(F.collect_list(F.struct("segment_id", "has_code", "cells"))).alias("segments"))
-    sizes = F.transform("segments", lambda s: F.size(F.filter(s["cells"], lambda c: c["cell_id"].isNotNull())).cast("string"))
-    return per_book.select("notebook_id", F.size("segments").cast("bigint").alias("n_segments"), F.array_join(sizes, ",").alias("sizes"))
+    flat = books.join(parts, "segment").join(kids, "cell", "left").withColumn("page", F.floor(F.coalesce("cell_id", F.lit(0)) / 1000))
+    known = F.when(F.col("cell_id").isNotNull(), F.struct("cell_id", "type"))
+    nest = flat.groupBy("notebook_id", "segment_id", "has_code", "page").agg(F.array_sort(F.collect_list(known)).alias("cells"))
+    return nest.select("notebook_id", "segment_id", "has_code", "page", F.size("cells").cast("bigint").alias("n_cells"), F.array_join(F.transform("cells", lambda c: F.substring(c["type"], 1, 1)), "").alias("shape"))
 
 
 def j05_pair_join(spark: SparkSession, d: str) -> DataFrame:
@@ -59,9 +59,9 @@ def j16_anti(spark: SparkSession, d: str) -> DataFrame:
 
 
 def u01_union(spark: SparkSession, d: str) -> DataFrame:
-    base = cells(spark, d, "notebook_id", "type", "content")
-    code = base.where("type = 'code'").select("notebook_id", F.lit("code").alias("tag"), F.size("content").alias("n"))
-    text = base.where("type = 'markdown'").select("notebook_id", F.lit("text").alias("tag"), F.size("content").alias("n"))
+    base = cells(spark, d, "notebook_id", "type", F.size("content").alias("n"))
+    code = base.where("type = 'code'").select("notebook_id", F.lit("code").alias("tag"), "n")
+    text = base.where("type = 'markdown'").select("notebook_id", F.lit("text").alias("tag"), "n")
     return code.unionByName(text).groupBy("notebook_id", "tag").agg(F.sum("n").alias("lines"))
 
 
@@ -108,17 +108,16 @@ def s11_ingest(spark: SparkSession, d: str) -> DataFrame:
 
 def s14_refresh_flags(spark: SparkSession, d: str) -> DataFrame:
     """Notebooks whose stored parse flag differs from what their comment-free cells say."""
-    code = cells(spark, d, "notebook_id", "type", "content_no_comment").where("type = 'code'")
-    fresh = code.groupBy("notebook_id").agg(F.bool_and(F.col("content_no_comment").isNotNull()).alias("fresh"))
+    code = cells(spark, d, "notebook_id", "type", F.col("content_no_comment").isNotNull().alias("bare")).where("type = 'code'")
+    fresh = code.groupBy("notebook_id").agg(F.bool_and("bare").alias("fresh"))
     books = notebooks(spark, d, "can_parse").withColumnRenamed("_id", "notebook_id")
     return books.join(fresh, "notebook_id").where(~F.col("can_parse").eqNullSafe(F.col("fresh"))).select("notebook_id", "can_parse", "fresh")
 
 
 def a03_line_counts(spark: SparkSession, d: str) -> DataFrame:
-    code = cells(spark, d, "notebook_id", "type", "content", "content_no_comment").where("type = 'code'")
-    return code.groupBy("notebook_id").agg(
-        F.sum(F.coalesce(F.size("content"), F.lit(0))).alias("n_lines"), F.sum(F.when(F.col("content_no_comment").isNotNull(), F.size("content_no_comment")).otherwise(0)).alias("n_bare")
-    )
+    lines = lambda c: F.when(F.col(c).isNotNull(), F.size(c)).otherwise(0)
+    code = cells(spark, d, "notebook_id", "type", lines("content").alias("n"), lines("content_no_comment").alias("bare")).where("type = 'code'")
+    return code.groupBy("notebook_id").agg(F.sum("n").alias("n_lines"), F.sum("bare").alias("n_bare"))
 
 
 def a05_statement_sums(spark: SparkSession, d: str) -> DataFrame:
@@ -146,7 +145,8 @@ def p02_numeric_keys(spark: SparkSession, d: str) -> DataFrame:
 
 def p06_eda_by_imports(spark: SparkSession, d: str) -> DataFrame:
     """Notebooks that import what is required and nothing that is forbidden."""
-    code = cells(spark, d, "notebook_id", "type", "content").where("type = 'code'").select("notebook_id", F.explode_outer(R.imported_modules(F.col("content"))).alias("m"))
+    modules = F.when(F.col("type") == "code", R.imported_modules(F.col("content"))).alias("modules")
+    code = cells(spark, d, "notebook_id", "type", modules).where("type = 'code'").select("notebook_id", F.explode_outer("modules").alias("m"))
     per_book = code.groupBy("notebook_id").agg(
         F.bool_or(F.coalesce(F.col("m") == "pandas", F.lit(False))).alias("pandas"), F.bool_or(F.coalesce(F.col("m").rlike("torch|tensorflow|keras|sklearn"), F.lit(False))).alias("learning"), F.count_distinct("m").alias("n_modules")
     )
@@ -156,8 +156,8 @@ def p06_eda_by_imports(spark: SparkSession, d: str) -> DataFrame:
 def p08_line_filter(spark: SparkSession, d: str) -> DataFrame:
     """Code lines without blank ones and comments, per notebook."""
     kept = F.filter("content", lambda x: ~F.startswith(x, F.lit("#")) & (F.trim(x) != ""))
-    code = cells(spark, d, "notebook_id", "type", "content").where("type = 'code'")
-    return code.groupBy("notebook_id").agg(F.sum(F.coalesce(F.size(kept), F.lit(0))).alias("n_lines"))
+    code = cells(spark, d, "notebook_id", "type", F.coalesce(F.size(kept), F.lit(0)).alias("n")).where("type = 'code'")
+    return code.groupBy("notebook_id").agg(F.sum(F.greatest("n", F.lit(0))).alias("n_lines"))
 
 
 def p11_outliers(spark: SparkSession, d: str) -> DataFrame:
@@ -180,13 +180,14 @@ def p17_not_english(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p18_with_heading(spark: SparkSession, d: str) -> DataFrame:
-    text = cells(spark, d, "notebook_id", "type", "content").where("type = 'markdown'")
-    return text.groupBy("notebook_id").agg(F.bool_or(F.coalesce(F.exists("content", lambda x: F.startswith(x, F.lit("#"))), F.lit(False))).alias("has_heading"))
+    text = cells(spark, d, "notebook_id", "type", has_heading(F.col("content")).alias("heading")).where("type = 'markdown'")
+    return text.groupBy("notebook_id").agg(F.bool_or("heading").alias("has_heading"))
 
 
 def p24_uses_pandas(spark: SparkSession, d: str) -> DataFrame:
-    code = cells(spark, d, "notebook_id", "type", "content").where("type = 'code'")
-    return code.groupBy("notebook_id").agg(F.bool_or(F.coalesce(F.exists("content", lambda x: x.contains("pd.") | x.contains("pandas")), F.lit(False))).alias("pandas"))
+    uses = F.coalesce(F.exists("content", lambda x: x.contains("pd.") | x.contains("pandas")), F.lit(False))
+    code = cells(spark, d, "notebook_id", "type", uses.alias("uses")).where("type = 'code'")
+    return code.groupBy("notebook_id").agg(F.bool_or("uses").alias("pandas"))
 
 
 def o04_page(spark: SparkSession, d: str) -> DataFrame:
@@ -196,7 +197,7 @@ def o04_page(spark: SparkSession, d: str) -> DataFrame:
 
 def o05_split(spark: SparkSession, d: str) -> DataFrame:
     """A seeded four-fifths split that needs no order and no shuffle."""
-    h = F.pmod(F.col("notebook_id") * 2654435761 + 42, F.lit(1000003)) % 100
+    h = F.pmod(F.pmod("notebook_id", F.lit(1000003)) * 2654435761 + 42, F.lit(1000003)) % 100
     return table(spark, d, "notebook").select("notebook_id").distinct().select("notebook_id", F.when(h < 80, "train").otherwise("test").alias("part"))
 
 
@@ -235,30 +236,33 @@ def a14_latency_bins(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a16_macro_f1(spark: SparkSession, d: str) -> DataFrame:
-    """The stored selection flag against the survey flag: accuracy and macro scores of the two classes."""
-    b = notebooks(spark, d, "is_eda", "selected").where("is_eda is not null and selected is not null")
-    t, p = F.col("is_eda"), F.col("selected")
-    c = b.agg(F.count_if(t & p).alias("tp"), F.count_if(~t & p).alias("fp"), F.count_if(t & ~p).alias("fn"), F.count_if(~t & ~p).alias("tn"))
+    """Scores of a predictor that grows surer of an end over each five statements, against the recorded ends at threshold 0.5: accuracy and
+    macro precision, recall and F1 of the two classes, per source."""
+    books = nested(spark, d, "dataset", "segment_ends", "n_ast_children_of_segments").where("segment_ends is not null and n_ast_children_of_segments > 0")
+    at = books.select("dataset", "segment_ends", F.explode(A.positions(F.col("n_ast_children_of_segments"))).alias("i"))
+    t, p = F.array_contains("segment_ends", F.col("i")), (F.col("i") % 5 + 1) / 5 > 0.5
+    c = at.groupBy("dataset").agg(F.count_if(t & p).alias("tp"), F.count_if(~t & p).alias("fp"), F.count_if(t & ~p).alias("fn"), F.count_if(~t & ~p).alias("tn"))
     ratio = lambda a, z: F.coalesce(F.try_divide(a, z), F.lit(0.0))
     tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
     p1, r1, p0, r0 = ratio(tp, tp + fp), ratio(tp, tp + fn), ratio(tn, tn + fn), ratio(tn, tn + fp)
     f1, f0 = ratio(2 * p1 * r1, p1 + r1), ratio(2 * p0 * r0, p0 + r0)
-    return c.select(F.round((tp + tn) / (tp + fp + fn + tn), 6).alias("accuracy"), F.round((p1 + p0) / 2, 6).alias("precision"), F.round((r1 + r0) / 2, 6).alias("recall"), F.round((f1 + f0) / 2, 6).alias("f1"))
+    return c.select("dataset", F.round((tp + tn) / (tp + fp + fn + tn), 6).alias("accuracy"), F.round((p1 + p0) / 2, 6).alias("precision"), F.round((r1 + r0) / 2, 6).alias("recall"), F.round((f1 + f0) / 2, 6).alias("f1"))
 
 
 def a17_line_agreement(spark: SparkSession, d: str) -> DataFrame:
     """Share of a cell's lines that the stripped side repeats at the same place; 1 for a cell without lines. Per notebook."""
-    code = cells(spark, d, "notebook_id", "type", "content", "content_no_comment").where("type = 'code' and content_no_comment is not null and content is not null")
     same = A.count_where(F.transform("content", lambda x, i: F.when(x.eqNullSafe(F.try_element_at("content_no_comment", i + 1)), 1).otherwise(0)), F.array().cast("array<int>"), lambda x, y: x == 1)
     ratio = F.when(F.size("content") == 0, F.lit(1.0)).otherwise(same / F.size("content"))
-    return code.groupBy("notebook_id").agg(F.round(F.avg(ratio), 6).alias("agreement"), F.count("*").alias("n"))
+    known = (F.col("type") == "code") & F.col("content_no_comment").isNotNull() & F.col("content").isNotNull()
+    code = cells(spark, d, "notebook_id", F.when(known, ratio).alias("ratio")).where("ratio is not null")
+    return code.groupBy("notebook_id").agg(F.round(F.avg("ratio"), 6).alias("agreement"), F.count("*").alias("n"))
 
 
 def y17_first_difference(spark: SparkSession, d: str) -> DataFrame:
     """The first line at which a cell and its stripped side differ."""
-    code = cells(spark, d, "type", "content", "content_no_comment").where("type = 'code' and content_no_comment is not null and content is not null")
     at = F.filter(F.transform("content", lambda x, i: F.when(~x.eqNullSafe(F.try_element_at("content_no_comment", i + 1)), i)), lambda i: i.isNotNull())
-    return code.select("_id", F.try_element_at(at, F.lit(1)).alias("line")).where("line is not null")
+    known = (F.col("type") == "code") & F.col("content_no_comment").isNotNull() & F.col("content").isNotNull()
+    return cells(spark, d, F.when(known, F.try_element_at(at, F.lit(1))).alias("line")).where("line is not null")
 
 
 def a20_histogram(spark: SparkSession, d: str) -> DataFrame:
@@ -305,9 +309,9 @@ ORACLE_SQL = {
     "s05_notebook_scan": SQL + "x AS (SELECT 1) SELECT notebook_id, language FROM books WHERE prompted AND selected AND language = 'python'",
     "j01_nested_cells": SQL + """k AS (SELECT notebook_id AS book, cell_id // 1000 AS page, count(*) AS n, string_agg(type[1], '' ORDER BY cell_id) AS shape FROM cells GROUP BY 1, 2)
 SELECT b.notebook_id, coalesce(page, 0)::BIGINT AS page, coalesce(n, 0) AS n_cells, coalesce(shape, '') AS shape FROM books b LEFT JOIN k ON b._id = k.book""",
-    "j02_materialised_segments": SQL + """b AS (SELECT notebook_id, unnest(segments) AS s FROM books), p AS (SELECT b.notebook_id, segment_id, unnest(p.cells) AS c FROM b JOIN parts p ON b.s = p._id),
-q AS (SELECT b.notebook_id, segment_id FROM b JOIN parts p ON b.s = p._id), n AS (SELECT p.notebook_id, segment_id, count(k._id) AS n FROM p LEFT JOIN cells k ON p.c = k._id GROUP BY ALL)
-SELECT q.notebook_id, count(*) AS n_segments, string_agg(coalesce(n, 0)::VARCHAR, ',' ORDER BY q.segment_id) AS sizes FROM q LEFT JOIN n ON q.notebook_id = n.notebook_id AND q.segment_id = n.segment_id GROUP BY 1""",
+    "j02_materialised_segments": SQL + """b AS (SELECT notebook_id, unnest(segments) AS s FROM books), p AS (SELECT b.notebook_id, segment_id, has_code, CASE WHEN len(p.cells) > 0 THEN p.cells ELSE [NULL] END AS c FROM b JOIN parts p ON b.s = p._id),
+u AS (SELECT notebook_id, segment_id, has_code, unnest(c) AS c FROM p)
+SELECT u.notebook_id, segment_id, has_code, (coalesce(cell_id, 0) // 1000)::BIGINT AS page, count(k._id) AS n_cells, coalesce(string_agg(k.type[1], '' ORDER BY cell_id), '') AS shape FROM u LEFT JOIN cells k ON u.c = k._id GROUP BY 1, 2, 3, 4""",
     "j05_pair_join": r"""WITH d AS (SELECT doc_id, notebook_id, length(trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g'), ' ')) AS n FROM documents WHERE notebook_id IS NOT NULL AND text IS NOT NULL)
 SELECT doc_id, lag(doc_id) OVER w AS other, n AS n_a, lag(n) OVER w AS n_b FROM d WINDOW w AS (PARTITION BY notebook_id ORDER BY doc_id) QUALIFY other IS NOT NULL""",
     "j03_semi": SQL + "x AS (SELECT 1) SELECT doc_id, kind FROM documents WHERE notebook_id IN (SELECT notebook_id FROM books WHERE is_eda)",
@@ -343,16 +347,17 @@ SELECT _id, array_to_string(e, ',') AS ends, len(e) > 0 AND list_max(e) < 64 AS
     "p18_with_heading": SQL + "x AS (SELECT 1) SELECT notebook_id, bool_or(heading) AS has_heading FROM heads WHERE type = 'markdown' GROUP BY 1",
     "p24_uses_pandas": SQL + "x AS (SELECT 1) SELECT notebook_id, bool_or(coalesce(len(list_filter(content, lambda x: contains(x, 'pd.') OR contains(x, 'pandas'))) > 0, FALSE)) AS pandas FROM cells WHERE type = 'code' GROUP BY 1",
     "o04_page": "SELECT DISTINCT notebook_id FROM notebook ORDER BY 1 LIMIT 10 OFFSET 50",
-    "o05_split": "SELECT DISTINCT notebook_id, CASE WHEN ((notebook_id * 2654435761 + 42) % 1000003) % 100 < 80 THEN 'train' ELSE 'test' END AS part FROM notebook",
+    "o05_split": "SELECT DISTINCT notebook_id, CASE WHEN ((notebook_id % 1000003 * 2654435761 + 42) % 1000003) % 100 < 80 THEN 'train' ELSE 'test' END AS part FROM notebook",
     "o06_stratified": SQL + """g AS (SELECT ((n_ast_children_of_segments - 1) // 32)::BIGINT AS x, least(7, len(segment_ends) // 4) AS y, segment_ends, min(notebook_id) AS notebook_id FROM nested
   WHERE segment_ends IS NOT NULL AND n_ast_children_of_segments BETWEEN 1 AND 256 GROUP BY ALL) SELECT x, y, notebook_id FROM g QUALIFY row_number() OVER (PARTITION BY x, y ORDER BY notebook_id) <= 16""",
     "a11_size_grid": SQL + """g AS (SELECT ((n_ast_children_of_segments - 1) // 32)::BIGINT AS x, least(3, len(segments) // 4) AS y FROM nested WHERE segments IS NOT NULL AND n_ast_children_of_segments BETWEEN 1 AND 256)
 SELECT x, count(*) FILTER (y = 0) AS y0, count(*) FILTER (y = 1) AS y1, count(*) FILTER (y = 2) AS y2, count(*) FILTER (y = 3) AS y3 FROM g GROUP BY x""",
     "a13_latency": "SELECT method, model, count(*) AS n, round(avg(st_time), 6) AS mean, round(stddev_pop(st_time), 6) AS std, count(*) FILTER (repr_time IS NOT NULL AND NOT isnan(repr_time)) AS with_repr FROM profile GROUP BY ALL",
     "a14_latency_bins": "SELECT (n_ast_children // 32 + 1)::BIGINT AS bin, count(*) AS n, round(avg(st_time), 6) AS mean FROM profile WHERE n_ast_children IS NOT NULL GROUP BY 1",
-    "a16_macro_f1": SQL + """c AS (SELECT count(*) FILTER (is_eda AND selected)::DOUBLE AS tp, count(*) FILTER (NOT is_eda AND selected)::DOUBLE AS fp, count(*) FILTER (is_eda AND NOT selected)::DOUBLE AS fn, count(*) FILTER (NOT is_eda AND NOT selected)::DOUBLE AS tn FROM books WHERE is_eda IS NOT NULL AND selected IS NOT NULL),
+    "a16_macro_f1": SQL + """p AS (SELECT dataset, list_contains(segment_ends, i) AS t, (i % 5 + 1) / 5.0 > 0.5 AS g FROM nested, unnest(range(0, n_ast_children_of_segments)) AS u(i) WHERE segment_ends IS NOT NULL AND n_ast_children_of_segments > 0),
+c AS (SELECT dataset, count(*) FILTER (t AND g)::DOUBLE AS tp, count(*) FILTER (NOT t AND g)::DOUBLE AS fp, count(*) FILTER (t AND NOT g)::DOUBLE AS fn, count(*) FILTER (NOT t AND NOT g)::DOUBLE AS tn FROM p GROUP BY 1),
 r AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS p1, coalesce(tp / nullif(tp + fn, 0), 0) AS r1, coalesce(tn / nullif(tn + fn, 0), 0) AS p0, coalesce(tn / nullif(tn + fp, 0), 0) AS r0 FROM c)
-SELECT round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, round((p1 + p0) / 2, 6) AS precision, round((r1 + r0) / 2, 6) AS recall, round((coalesce(2 * p1 * r1 / nullif(p1 + r1, 0), 0) + coalesce(2 * p0 * r0 / nullif(p0 + r0, 0), 0)) / 2, 6) AS f1 FROM r""",
+SELECT dataset, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, round((p1 + p0) / 2, 6) AS precision, round((r1 + r0) / 2, 6) AS recall, round((coalesce(2 * p1 * r1 / nullif(p1 + r1, 0), 0) + coalesce(2 * p0 * r0 / nullif(p0 + r0, 0), 0)) / 2, 6) AS f1 FROM r""",
     "a17_line_agreement": SQL + """l AS (SELECT _id, notebook_id, len(content) AS n, list_sum(list_transform(content, lambda x, i: (x IS NOT DISTINCT FROM content_no_comment[i])::INT)) AS same FROM cells WHERE type = 'code' AND content_no_comment IS NOT NULL AND content IS NOT NULL)
 SELECT notebook_id, round(avg(CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE same::DOUBLE / n END), 6) AS agreement, count(*) AS n FROM l GROUP BY 1""",
     "y17_first_difference": SQL + """l AS (SELECT _id, i - 1 AS line FROM cells, unnest(range(1, len(content) + 1)) AS t(i) WHERE type = 'code' AND content_no_comment IS NOT NULL AND content[i] IS DISTINCT FROM content_no_comment[i])

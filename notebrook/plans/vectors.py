@@ -19,7 +19,7 @@ from notebrook.streaming import ingest
 
 
 def _ends(spark: SparkSession, d: str, *more: str) -> DataFrame:
-    books = nested(spark, d, "segment_ends", "n_ast_children_of_segments", *more).where("segment_ends is not null and n_ast_children_of_segments between 1 and 256")
+    books = nested(spark, d, "segment_ends", "n_ast_children_of_segments", *more).where("segment_ends is not null and n_ast_children_of_segments > 0")
     return books.withColumn("n", F.col("n_ast_children_of_segments"))
 
 
@@ -63,11 +63,11 @@ def f14_blocks_at_comments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def f16_prompts(spark: SparkSession, d: str) -> DataFrame:
-    """Prompts over the candidates' code with their first segment as example."""
+    """Prompts over the code of every notebook with its first segment as example."""
     code = F.transform("segments", lambda s: F.array_join(F.flatten(F.transform(F.filter(s["cells"], lambda c: c["type"] == "code"), lambda c: c["content"])), "\n"))
-    b = nested(spark, d, "segments", "prompted").where("prompted and segments is not null").withColumn("code", code)
+    b = table(spark, d, "notebooksegments").where("segments is not null").withColumn("code", code)
     text = P.prompt(F.array_join("code", "\n"), think=True, example=P.annotated(F.slice("code", 1, 1)))
-    return b.select("_id", F.length(text).cast("bigint").alias("chars"), F.md5(text).alias("digest"))
+    return b.select("_id", F.length(text).cast("bigint").alias("chars"), F.md5(text).alias("digest")).distinct()
 
 
 def f01_document_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -81,10 +81,12 @@ def f44_previews(spark: SparkSession, d: str) -> DataFrame:
 
 
 def f34_model_size(spark: SparkSession, d: str) -> DataFrame:
-    """Parameters of an encoder with as many layers as a nation's number, width 96, inner width 64 and 1000 words."""
-    layers, h, i, v = F.col("n_nationkey").cast("bigint"), 96, 64, 1000
+    """Parameters of an encoder with a layer for each statement of a measured notebook, width 96, inner width 64 and 1000 words, and how many
+    measurements ask for it."""
+    layers, h, i, v = F.col("n_ast_children").cast("bigint"), 96, 64, 1000
     block = 4 * (h * h + h) + 2 * h * i + h + i + 4 * h
-    return table(spark, d, "nation").select("n_nationkey", (layers * block + v * h + 512 * h).alias("parameters"))
+    sizes = table(spark, d, "profile").where("n_ast_children is not null").groupBy("n_ast_children").agg(F.count("*").alias("n"))
+    return sizes.select("n_ast_children", "n", (layers * block + v * h + 512 * h).alias("parameters"))
 
 
 def j15_nearest(spark: SparkSession, d: str) -> DataFrame:
@@ -108,14 +110,15 @@ def f33_scaled(spark: SparkSession, d: str) -> DataFrame:
 
 
 def m04_tree_models(spark: SparkSession, d: str) -> DataFrame:
-    """Held-out accuracy of the tree models on the labelled vectors."""
-    e = table(spark, d, "embeddings")
-    return spark.createDataFrame([(k, *M.vector_accuracy(e, k)) for k in ("tree", "forest", "boosting")], "model string, accuracy double, tested bigint")
+    """What the tree models say of every held-out vector, beside its label."""
+    guesses = [M.vector_guesses(table(spark, d, "embeddings"), k).withColumn("model", F.lit(k)) for k in ("tree", "forest", "boosting")]
+    return guesses[0].unionByName(guesses[1]).unionByName(guesses[2])
 
 
 def m18_regression(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "profile").select("notebook_id", F.col("n_ast_children").cast("double").alias("n"), "st_time").where("not isnan(st_time)")
-    return spark.createDataFrame([M.regression_error(p, "notebook_id", ["n"], "st_time")], "rmse double, rmse_of_mean double")
+    """The duration that a regression on the statements foresees for each held-out measurement, beside the measured one."""
+    p = table(spark, d, "profile").select("notebook_id", "measured_at", F.col("n_ast_children").cast("double").alias("n"), "st_time").where("not isnan(st_time)")
+    return M.regression_guesses(p, "notebook_id", ["n"], "st_time").select("notebook_id", "measured_at", "st_time", "guess")
 
 
 def st_window_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -153,7 +156,7 @@ QUERIES = {
     )
 }
 
-_E = "b AS (SELECT *, n_ast_children_of_segments AS n FROM nested WHERE segment_ends IS NOT NULL AND n_ast_children_of_segments BETWEEN 1 AND 256)"
+_E = "b AS (SELECT *, n_ast_children_of_segments AS n FROM nested WHERE segment_ends IS NOT NULL AND n_ast_children_of_segments > 0)"
 ORACLE_SQL = {
     "f20_binary_round_trip": SQL + _E + """ SELECT _id, array_to_string(list_transform(range(0, n), lambda i: list_contains(segment_ends, i)::INT), '') AS bits,
 array_to_string(list_sort(list_distinct(list_filter(segment_ends, lambda e: e >= 0 AND e < n))), ',') AS ends FROM b""",
@@ -170,14 +173,14 @@ SELECT c._id, CASE WHEN filled IS NULL THEN 0 WHEN first IS NULL THEN 1 WHEN fir
     "f01_document_lines": r"""WITH l AS (SELECT doc_id, string_split_regex(text, '\r\n|\r|\n') AS l FROM documents WHERE text IS NOT NULL AND text <> '')
 SELECT doc_id, len(l) AS lines, len(list_filter(l, lambda x: trim(x, ' ') <> '')) AS filled FROM l""",
     "f44_previews": SQL + "p AS (SELECT _id, array_to_string(content, ' ') AS t FROM cells WHERE content IS NOT NULL) SELECT _id, CASE WHEN length(t) > 80 THEN t[1:80] || '...' ELSE t END AS preview FROM p",
-    "f34_model_size": "SELECT n_nationkey, n_nationkey::BIGINT * (4 * (96 * 96 + 96) + 2 * 96 * 64 + 96 + 64 + 4 * 96) + 1000 * 96 + 512 * 96 AS parameters FROM nation",
+    "f34_model_size": "SELECT n_ast_children, count(*) AS n, n_ast_children::BIGINT * (4 * (96 * 96 + 96) + 2 * 96 * 64 + 96 + 64 + 4 * 96) + 1000 * 96 + 512 * 96 AS parameters FROM profile WHERE n_ast_children IS NOT NULL GROUP BY n_ast_children",
     "j15_nearest": """WITH d AS (SELECT q.vec_id AS query, r.vec_id AS neighbour, list_distance(q.embedding::DOUBLE[], r.embedding::DOUBLE[]) AS x FROM embeddings q, embeddings r WHERE q.vec_id % 20 = 0 AND q.vec_id <> r.vec_id)
 SELECT query, row_number() OVER (PARTITION BY query ORDER BY x, neighbour) AS rank, neighbour, round(x, 5) AS distance FROM d QUALIFY rank <= 3""",
     "s29_new_vectors": "SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM embeddings WHERE label < 3)",
     "f33_scaled": """SELECT notebook_id, dataset, method, model, measured_at, round((n_ast_children - avg(n_ast_children) OVER ()) / stddev_pop(n_ast_children) OVER (), 6) AS z, (method = 'fewshot')::INT AS is_fewshot, (method = 'tree')::INT AS is_tree FROM profile WHERE n_ast_children IS NOT NULL""",
     "st_window_counts": "SELECT date_trunc('day', ts)::TIMESTAMP AS starts, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "st_latest_profile": "SELECT notebook_id, dataset, method, model, n_ast_children, st_time FROM profile QUALIFY row_number() OVER (PARTITION BY notebook_id, dataset, method, model ORDER BY measured_at DESC, n_ast_children DESC) = 1",
-    "s31_notebook_files": SQL + """c AS (SELECT b.notebook_id, k.content FROM books b JOIN cells k ON b._id = k.notebook_id WHERE selected AND n_code_lines <= 2000)
+    "s31_notebook_files": SQL + """c AS (SELECT b.notebook_id, k.content FROM books b JOIN cells k ON b._id = k.notebook_id WHERE selected)
 SELECT notebook_id, count(*) AS n_cells, sum(CASE WHEN coalesce(array_to_string(content, chr(10)), '') = '' THEN 0 ELSE len(content) END)::BIGINT AS n_lines FROM c GROUP BY 1""",
     "s20_delete_and_recount": SQL + "x AS (SELECT 1) SELECT type, count(*) AS n FROM cells WHERE notebook_id NOT IN (SELECT _id FROM books WHERE user_name = 'autolog') GROUP BY 1",
 }

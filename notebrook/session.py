@@ -16,9 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a private one only where the setting is absent (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``. Where it is unset, a private one in local mode (tests); on a cluster, whose
+    executors would not share it, an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if spark.sparkContext.getCheckpointDir() is None:
+        if not configured and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -26,7 +29,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def latest(df: DataFrame, keys: list[str], version: str) -> DataFrame:
     """One row per key, the one with the highest version; ties fall to the row with the larger remaining columns.
 
-    A hash aggregate with map-side combine instead of a window, so a hot key never gathers in one task."""
+    An aggregate with map-side combine instead of a window, so a hot key never gathers in one task. Rows with text are sorted by
+    it on both sides of the shuffle: hand it only the columns that are needed, best as numbers and flags made from the text before."""
     rest = [c for c in df.columns if c not in keys and c != version]
     picked = df.groupBy(*keys).agg(F.max(F.struct(version, *rest)).alias("_row"))
     return picked.select(*keys, *[F.col("_row")[c].alias(c) for c in df.columns if c not in keys]).select(*df.columns)
@@ -37,8 +41,21 @@ def ordered(*cols):
     return Window.partitionBy(cols[0]).orderBy(*cols[1:])
 
 
+_folders: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame, written to and read from the shared folder: cuts the lineage and survives the loss of executors."""
+    """The frame, written to and read from the shared folder: cuts the lineage and survives the loss of executors. ``release`` removes it."""
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _folders.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Removes the tables that ``written`` left in this session, once the results that read them are no longer needed; how many."""
+    n = len(_folders)
+    while _folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_folders.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n

@@ -38,18 +38,40 @@ def broken(spark: SparkSession, path: str) -> DataFrame:
 
 def to_files(cells: DataFrame, key: str, page: int = 1000) -> DataFrame:
     """key, page, text: the JSON of a notebook's cells, one row for each ``page`` positions, so that no file grows with a notebook.
-    cells has key, cell_id, type, content."""
+    cells has key, cell_id, type, content, and execution_count and outputs if they are recorded."""
     lines = F.transform("content", lambda x, i: F.when(i < F.size("content") - 1, F.concat(x, F.lit("\n"))).otherwise(x))
-    cell = F.struct("cell_id", F.struct(F.col("type").alias("cell_type"), F.coalesce(lines, F.array().cast("array<string>")).alias("source")).alias("c"))
-    books = cells.groupBy(key, F.floor(F.col("cell_id") / page).alias("page")).agg(F.array_sort(F.collect_list(cell)).alias("x"))
+    recorded = [c for c in ("execution_count", "outputs") if c in cells.columns]
+    cell = F.struct("cell_id", F.struct(F.col("type").alias("cell_type"), F.coalesce(lines, F.array().cast("array<string>")).alias("source"), *recorded).alias("c"))
+    books = cells.groupBy(key, F.floor(F.col("cell_id") / page).alias("page")).agg(F.array_sort(F.collect_list(cell), _by_cell).alias("x"))
     body = F.struct(F.transform("x", lambda x: x["c"]).alias("cells"), F.lit(4).alias("nbformat"), F.lit(5).alias("nbformat_minor"))
     return books.select(key, "page", F.to_json(body).alias("text"))
 
 
+def _by_cell(a: Column, b: Column) -> Column:
+    return F.when(a["cell_id"] < b["cell_id"], -1).when(a["cell_id"] > b["cell_id"], 1).otherwise(0)
+
+
+def pages(texts: DataFrame) -> DataFrame:
+    """name, page, pos, type, text, execution_count, outputs of the cells in the JSON of ``to_files``; texts has name, page, text."""
+    flat = texts.select("name", "page", F.from_json("text", _FILE).alias("n")).select("name", "page", F.posexplode("n.cells").alias("pos", "c"))
+    return flat.select("name", "page", "pos", F.col("c.cell_type").alias("type"), _text(F.col("c.source")).alias("text"), F.col("c.execution_count").alias("execution_count"), F.col("c.outputs").alias("outputs"))
+
+
+def output_text(outputs: Column) -> Column:
+    """Text of a cell's recorded outputs: of each its text, else its image, else its plain data; without outputs the empty text."""
+    found = F.from_json(outputs, "array<struct<text string, data struct<`image/png` string, `text/plain` string>>>")
+    one = lambda o: F.coalesce(_text(o["text"]), o["data"]["image/png"], _text(o["data"]["text/plain"]), F.lit(""))
+    return F.coalesce(F.array_join(F.transform(found, one), ""), F.lit(""))
+
+
+def read_versions(spark: SparkSession, path: str) -> DataFrame:
+    """name, language, version (major and minor number) as the files' metadata have it; null where they have not."""
+    found = F.nullif(F.regexp_extract("n.metadata.language_info.version", r"^(\d+\.\d+)", 1), F.lit(""))
+    return _files(spark, path).select("name", F.col("n.metadata.language_info.name").alias("language"), found.alias("version"))
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """name, page, pos, type, text of the cells in the files that ``to_files`` gave, written by name and page; (page, pos) is the
     order of the cells in a notebook."""
     at = lambda part: F.regexp_extract("_metadata.file_path", rf"{part}=(\d+)/", 1).cast("bigint").alias(part)
-    text = spark.read.text(path, wholetext=True).select(at("name"), at("page"), F.from_json("value", _FILE).alias("n"))
-    flat = text.select("name", "page", F.posexplode("n.cells").alias("pos", "c"))
-    return flat.select("name", "page", "pos", F.col("c.cell_type").alias("type"), _text(F.col("c.source")).alias("text"))
+    return pages(spark.read.text(path, wholetext=True).select(at("name"), at("page"), F.col("value").alias("text"))).select("name", "page", "pos", "type", "text")

@@ -1,6 +1,6 @@
 """Delimited records: quote-aware assembly, strict parsing, and rows that fail kept with their reason.
 
-``assemble`` joins physical lines into records, ``parse`` separates good from bad. A null record has no fields
+``assemble`` joins the physical lines of files into records, ``parse`` separates good from bad. A null record has no fields
 (``column_count``). Bad rows are never dropped; equal records under several ids are judged each."""
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ import re
 from collections.abc import Iterator
 from itertools import islice
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,37 +105,141 @@ def loaded(raw: DataFrame) -> DataFrame:
     return parse(raw).where("reason is null").select("kernel_id", "cell_id", "source", F.col("received_at").alias("loaded_at"))
 
 
+#: Lines that one task assembles, and the lines that a record may have at most: a field that is not closed within them is never closed.
+BLOCK_LINES, RECORD_LINES = 65_536, 4_096
+#: A line that begins like a record: two short first fields, one of them a number, quoted or not. A broken record ends before the next such line.
+_NUMERAL, _SHORT, _OTHER = (rf'\s*"?\s*{x}\s*"?\s*' for x in (r"[0-9]+(?:\.0+)?", r"[\w.+-]{0,24}", r'[^",()\[\]{}=]{0,24}'))
+_BEGINS = re.compile(f"{_NUMERAL},{_OTHER},|{_SHORT},{_NUMERAL},|{_NUMERAL},{_NUMERAL}$")
+
+
+def _line_state(line: str, inside: bool) -> str:
+    """closed, open (a quoted field goes on) or broken, after a line that begins at the start of a field or inside a quoted one."""
+    at, end = 0, len(line) - line.endswith("\r")
+    while True:
+        if inside:
+            while True:
+                quote = line.find('"', at)
+                if quote < 0:
+                    return "open"
+                if line.startswith('"', quote + 1):
+                    at = quote + 2
+                    continue
+                at = quote + 1
+                break
+            if at >= end:
+                return "closed"
+            if line[at] != ",":
+                return "broken"
+            at += 1
+        if line.startswith('"', at):
+            inside, at = True, at + 1
+            continue
+        inside = False
+        comma, quote = line.find(",", at), line.find('"', at)
+        if quote >= 0 and (comma < 0 or quote < comma):
+            return "broken"
+        if comma < 0:
+            return "closed"
+        at = comma + 1
+
+
+def record_lines(lines: list[str], i: int, most: int = RECORD_LINES) -> int:
+    """How many lines the record takes that starts at line i. A quoted field may go over several lines; if it is never closed, or closed by
+    a quote that cannot end it, the record is broken and takes what stands before the next line that begins like a record."""
+    first = lines[i]
+    if '"' not in first:
+        return 1
+    last, state, j = min(len(lines), i + most), _line_state(first, False), i
+    while state == "open" and j + 1 < last:
+        j += 1
+        if '"' in lines[j]:
+            state = _line_state(lines[j], True)
+    if state == "closed":
+        return j - i + 1
+    return next((k for k in range(i + 1, last) if _BEGINS.match(lines[k])), last) - i
+
+
+def block_exits(lines: list[str], size: int, most: int = RECORD_LINES) -> list[tuple[int, int]]:
+    """(entry, exit): where the first record after a block of ``size`` lines starts, in lines behind it, if its own first record starts at line
+    ``entry`` or at one after it up to the next entry of the list. lines goes on behind the block. Ways through a block soon meet."""
+    exits: dict[int, int] = {}
+    out: list[tuple[int, int]] = []
+    for entry in range(min(size, most) + 1):
+        i, way = entry, []
+        while i < size and i not in exits:
+            way.append(i)
+            i += record_lines(lines, i, most)
+        leaves = exits[i] if i < size else i - size
+        exits.update(dict.fromkeys(way, leaves))
+        if not out or out[-1][1] != leaves:
+            out.append((entry, leaves))
+    return out
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file_name, block, pos, line of text files; (block, pos) is the order of the lines in a file."""
-    return spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file_name"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos"), F.col("value").alias("line")
+    """file_name, line_no (from 0), line of text files. Lines end at LF; a CR before it stays part of the line."""
+    raw = spark.read.text(path, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("file_name"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("pos"), F.col("value").alias("line")
     )
+    # the lines of a part of a file stand together in one partition, so their numbers follow each other; one row per part is ordered over a file
+    parts = raw.groupBy("file_name", "start").agg(F.min("pos").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("file_name").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("file_name", "start", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    return raw.join(parts, ["file_name", "start"]).select("file_name", (F.col("pos") + F.col("shift")).alias("line_no"), "line")
 
 
 def assemble(lines: DataFrame) -> DataFrame:
-    """file_name, block, pos, record: a line ends its record if the quotes so far in the file are even in number. The
-    parity before each block comes from sums per block, so only one row per block is ordered over a whole file."""
-    quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
-    lines = lines.withColumn("q", F.coalesce(quotes, F.lit(0)))
-    in_file = Window.partitionBy("file_name").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    before = lines.groupBy("file_name", "block").agg(F.sum("q").alias("q")).select("file_name", "block", F.coalesce(F.sum("q").over(in_file), F.lit(0)).alias("start"))
-    in_block = Window.partitionBy("file_name", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    lines = lines.join(before, ["file_name", "block"]).withColumn("open", (F.col("start") + F.coalesce(F.sum("q").over(in_block), F.lit(0))) % 2 == 1)
-    # a record takes the place of its first line; a block that begins inside a record gives its head to the block before
-    starts = Window.partitionBy("file_name", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("head", F.max(F.when(~F.col("open"), F.col("pos"))).over(starts))
-    last = lines.where(~F.col("open")).groupBy("file_name", "block").agg(F.max("pos").alias("tail"))
-    blocks = lines.select("file_name", "block").distinct().join(last, ["file_name", "block"], "left")
-    earlier = F.last("tail", ignorenulls=True).over(in_file)
-    carried = blocks.select("file_name", "block", earlier.alias("carried"))
-    placed = lines.join(carried, ["file_name", "block"]).withColumn("record_pos", F.coalesce("head", "carried"))
-    joined = placed.groupBy("file_name", "record_pos").agg(F.array_sort(F.collect_list(F.struct("block", "pos", "line"))).alias("x"))
-    return joined.select("file_name", F.col("x")[0]["block"].alias("block"), F.col("x")[0]["pos"].alias("pos"), F.array_join(F.transform("x", lambda x: x["line"]), "\n").alias("record"))
+    """file_name, line_no, record: the records of numbered lines, quote-aware, with their line breaks as they are.
+
+    Lines are cut into blocks. Whether a block starts inside a record depends on all before it, but a block can say for each line at which
+    its first record may start where the first record behind it starts; ways soon meet, so that is a short list. Only these lists are ordered
+    over a file; then each block is assembled on its own. A stray quote spoils its own record only."""
+    size_of_block, most = BLOCK_LINES, RECORD_LINES
+    block = F.floor(F.col("line_no") / size_of_block)
+    at = F.col("line_no") % size_of_block
+    # a block also sees the lines behind it in which its last record may end
+    seen = F.when((at < most) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))
+    spread = lines.where(F.col("line_no").isNotNull() & F.col("line").isNotNull()).select("file_name", F.explode(seen).alias("block"), "line_no", "line")
+
+    def numbered(rows: pd.DataFrame) -> tuple[int, list[str], int]:
+        rows = rows.sort_values("line_no")
+        first = int(rows["block"].iloc[0]) * size_of_block
+        return first, rows["line"].tolist(), int((rows["line_no"] < first + size_of_block).sum())
+
+    def exits(rows: pd.DataFrame) -> pd.DataFrame:
+        first, text, size = numbered(rows)
+        found = block_exits(text, size, most)
+        return pd.DataFrame({"file_name": rows["file_name"].iloc[:1], "block": [first // size_of_block], "ways": [[{"entry": a, "leaves": b} for a, b in found]]})
+
+    ways = spread.groupBy("file_name", "block").applyInPandas(exits, "file_name string, block bigint, ways array<struct<entry int, leaves int>>")
+    ways = ways.groupBy("file_name").agg(F.array_sort(F.collect_list(F.struct("block", "ways"))).alias("x"))
+    step = lambda done, b: F.struct(
+        F.element_at(F.filter(b["ways"], lambda w: w["entry"] <= done["at"]), -1)["leaves"].alias("at"),
+        F.concat(done["entries"], F.array(F.struct(b["block"].alias("block"), done["at"].alias("entry")))).alias("entries"),
+    )
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<block bigint, entry int>>").alias("entries"))
+    entries = ways.select("file_name", F.inline(F.aggregate("x", start, step, lambda done: done["entries"])))
+
+    def records(rows: pd.DataFrame) -> pd.DataFrame:
+        first, text, size = numbered(rows)
+        i, out = int(rows["entry"].iloc[0]), []
+        while i < size:
+            n = record_lines(text, i, most)
+            out.append((rows["file_name"].iloc[0], first + i, "\n".join(text[i : i + n])))
+            i += n
+        return pd.DataFrame(out, columns=["file_name", "line_no", "record"])
+
+    return spread.join(entries, ["file_name", "block"]).groupBy("file_name", "block").applyInPandas(records, "file_name string, line_no bigint, record string")
 
 
 def load_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files of raw records, parsed: the same columns as ``parse``; received_at is null."""
+    """Files of raw records, parsed: the same columns as ``parse``; line_no counts from 0, received_at is null."""
     records = assemble(read_lines(spark, path))
-    return parse(
-        records.select(F.xxhash64("file_name", "block", "pos").alias("record_id"), "file_name", F.lit(None).cast("int").alias("line_no"), F.lit(None).cast("timestamp").alias("received_at"), "record")
-    )
+    return parse(records.select(F.xxhash64("file_name", "line_no").alias("record_id"), "file_name", "line_no", F.lit(None).cast("timestamp").alias("received_at"), "record"))
+
+
+def to_files(raw: DataFrame, path: str, page: int = 100_000) -> None:
+    """The records as files of lines, in the order of line_no; a file of many lines becomes several of ``page`` line numbers."""
+    text = F.regexp_replace("record", "\n$", "").alias("value")
+    paged = raw.where("record is not null").select("file_name", F.floor(F.col("line_no") / page).alias("page"), "line_no", text)
+    paged.repartition("file_name", "page").sortWithinPartitions("file_name", "page", "line_no").drop("line_no").write.partitionBy("file_name", "page").text(path)

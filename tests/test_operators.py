@@ -70,11 +70,22 @@ def cells(spark, rows):
     return spark.createDataFrame([(*r, "extra") for r in rows], "notebook_id string, cell_id int, type string, content array<string>, pos string")
 
 
-def test_gap_segments_and_prompted(spark):
+@pytest.mark.parametrize("block", [ordered.BLOCK, 3])
+def test_gap_segments_and_prompted(spark, monkeypatch, block):
+    monkeypatch.setattr(ordered, "BLOCK", block)
     df = cells(spark, [("n", i, "code", ["x"]) for i in (1, 2, 4, 5, 8)] + [("n", 3, "markdown", ["#"]), ("n", 1, "code", ["x"]), ("m", 7, "code", None)])
     assert sorted(r["end"] for r in ordered.gap_ends(df).collect()) == [1, 3]
     assert {r["notebook_id"]: r["prompted"] for r in ordered.prompted(df).collect()} == {"n": True, "m": False}
     assert ordered.gap_ends(df.limit(0)).count() == 0
+    rng = random.Random(block)
+    numbers = sorted(rng.sample(range(200), 90))
+    got = sorted(tuple(r) for r in ordered.gap_segments(cells(spark, [("g", i, "code", [str(i)]) for i in numbers] + [(None, 1, "code", []), ("g", None, "code", [])]), "content").collect())
+    want, segment = [], 0
+    for pos, i in enumerate(numbers):
+        opens = pos > 0 and i - numbers[pos - 1] > 1
+        segment += opens
+        want.append(("g", i, [str(i)], pos, opens, segment))
+    assert got == want
 
 
 def heading_by_hand(rows):
@@ -88,16 +99,19 @@ def heading_by_hand(rows):
     return out
 
 
-def test_heading_segments_equal_the_state_machine(spark):
+@pytest.mark.parametrize("block", [ordered.BLOCK, 4])
+def test_heading_segments_equal_the_state_machine(spark, monkeypatch, block):
+    monkeypatch.setattr(ordered, "BLOCK", block)
     rng = random.Random(1)
     rows = [("n", i, *rng.choice([("code", ["x"]), ("markdown", ["# h"]), ("markdown", ["t"]), ("markdown", None)])) for i in range(300)]
     got = sorted((r["cell_id"], r["segment_id"]) for r in ordered.heading_segments(cells(spark, rows)).collect())
     assert got == heading_by_hand(rows)
 
 
-def test_running_over_block_borders(spark):
+@pytest.mark.parametrize("block", [10, None])
+def test_running_over_block_borders(spark, block):
     df = spark.range(1000).selectExpr("id % 3 as k", "cast(id as int) as o", "cast(id * 7 % 11 as int) as v")
-    out = ordered.running(df, "k", "o", block=10, s=("sum", F.col("v"), True), m=("max", F.col("v"), False)).collect()
+    out = ordered.running(df, "k", "o", block=block, s=("sum", F.col("v"), True), m=("max", F.col("v"), False)).collect()
     for k in range(3):
         mine, total, most = sorted((r["o"], r["v"], r["s"], r["m"]) for r in out if r["k"] == k), 0, None
         for _, v, s, m in mine:
@@ -199,10 +213,35 @@ def test_files_are_assembled_by_quotes(spark, tmp_path):
     assert [r.reason for r in out if r.reason] == ["column_count"]
 
 
-def test_assembly_over_block_borders(spark):
-    lines = ['1,1,"a', 'b', 'c"', '2,2,x', '3,3,"', '"']
-    df = spark.createDataFrame([("f", i // 2, i, x) for i, x in enumerate(lines)], "file_name string, block bigint, pos bigint, line string")
-    assert sorted(r.record for r in records.assemble(df).collect()) == ['1,1,"a\nb\nc"', "2,2,x", '3,3,"\n"']
+def brute_records(lines, most):
+    out, i = [], 0
+    while i < len(lines):
+        n = records.record_lines(lines, i, most)
+        out.append("\n".join(lines[i : i + n]))
+        i += n
+    return out
+
+
+@pytest.mark.parametrize("block, most", [(65_536, 4_096), (7, 5), (3, 3)])
+def test_assembly_over_block_borders(spark, monkeypatch, block, most):
+    monkeypatch.setattr(records, "BLOCK_LINES", block)
+    monkeypatch.setattr(records, "RECORD_LINES", most)
+    rng = random.Random(block)
+    pieces = ['1,1,"a', "b", 'c"', "2,2,x", '3,3,"', '"', '4,4,"x""y"', '5,5,"open', "6,6,plain", 'stray " quote', '7,7,"q" z', "", "8,8,a\r", '9,9,"k\r', 'm"\r']
+    files = {f"f{j}": [rng.choice(pieces) for _ in range(rng.randint(1, 90))] for j in range(6)}
+    df = spark.createDataFrame([(f, i, x) for f, lines in files.items() for i, x in enumerate(lines)] + [("f0", None, "x"), (None, None, None)], "file_name string, line_no bigint, line string")
+    got = {}
+    for r in sorted(records.assemble(df.repartition(3)).collect(), key=lambda r: r.line_no):
+        got.setdefault(r.file_name, []).append(r.record)
+    assert got == {f: brute_records(lines, most) for f, lines in files.items()}
+    assert records.assemble(df.limit(0)).count() == 0
+
+
+def test_an_open_quote_spoils_its_own_record_only(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b'1,1,x\n2,2,"open\n3,3,y\n4,4,z\n5,5,w\n6,6,"legal\r\nfield"\r\n')
+    out = records.load_files(spark, str(tmp_path)).collect()
+    assert sorted((r.kernel_id, r.source) for r in out if not r.reason) == [(1, "x"), (3, "y"), (4, "z"), (5, "w"), (6, "legal\r\nfield")]
+    assert [r.reason for r in out if r.reason] == ["quoting"]
 
 
 # ---- notebook files
