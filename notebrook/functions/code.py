@@ -55,9 +55,9 @@ def strip_comments(code: str | None) -> str | None:
     return "\n".join(line.rstrip() for line in "".join(out).split("\n") if line.strip())
 
 
-def _identifiers(tree: ast.AST) -> Iterator[tuple[int, int, str]]:
+def _identifiers(nodes: list[ast.AST]) -> Iterator[tuple[int, int, str]]:
     """(line, column, name) of everything that reads as an identifier, attributes and keywords included."""
-    for node in ast.walk(tree):
+    for node in nodes:
         if isinstance(node, ast.Name):
             yield node.lineno, node.col_offset, node.id
         elif isinstance(node, ast.Attribute):
@@ -77,7 +77,8 @@ def events(code: str | None) -> list[tuple[int, int, str, str, str | None]]:
         return []
     found: list[tuple[int, int, int, str, str, str | None]] = []
     bound = set()
-    for node in ast.walk(tree):
+    nodes = list(ast.walk(tree))
+    for node in nodes:
         if isinstance(node, _DEFINITIONS):
             kind = "class" if isinstance(node, ast.ClassDef) else "function"
             found.append((node.lineno, node.col_offset + 1, 0, "def", node.name, kind))
@@ -90,7 +91,7 @@ def events(code: str | None) -> list[tuple[int, int, str, str, str | None]]:
                 if isinstance(name, ast.Name):
                     bound.add((name.lineno, name.col_offset))
                     found.append((name.lineno, name.col_offset, 0, "def", name.id, "variable"))
-    found += [(line, column, 1, "ref", name, None) for line, column, name in _identifiers(tree) if (line, column) not in bound]
+    found += [(line, column, 1, "ref", name, None) for line, column, name in _identifiers(nodes) if (line, column) not in bound]
     found.sort(key=lambda e: e[:3])
     return [(i, e[0], *e[3:]) for i, e in enumerate(found)]
 

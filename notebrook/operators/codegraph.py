@@ -51,11 +51,10 @@ def references(cells: DataFrame) -> DataFrame:
     keep = ["notebook_id", "name", "at", "cell_id", "line", "kind"]
     sites = known.where("kind in ('def', 'ref')").select(*keep).unionByName(handed.select(*keep).withColumn("kind", F.lit("def")))
     sites = sites.withColumn("key", F.concat_ws("\x1f", "notebook_id", "name"))
-    mark = F.when(F.col("kind") == "def", F.col("at"))
+    mark = F.when(F.col("kind") == "def", F.struct("at", "line"))
     found = running(sites, "key", "at", block=256 * STEP, source=("max", mark, False)).where("kind = 'ref' and source is not null")
-    places = sites.where("kind = 'def'").select("key", F.col("at").alias("source"), F.col("line").alias("source_line"), F.col("cell_id").alias("source_cell"))
-    return found.join(places, ["key", "source"]).select(
-        "notebook_id", "name", "source_cell", F.col("cell_id").alias("target_cell"), "source_line", F.col("line").alias("target_line")
+    return found.select(
+        "notebook_id", "name", F.floor(F.col("source.at") / STEP).cast("int").alias("source_cell"), F.col("cell_id").alias("target_cell"), F.col("source.line").alias("source_line"), F.col("line").alias("target_line")
     )
 
 

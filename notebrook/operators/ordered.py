@@ -23,10 +23,10 @@ _COMBINE = {"sum": (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b,
 
 
 def _continued(rows: DataFrame, key: str, carried: DataFrame) -> DataFrame:
-    """rows with what their block carries on; carried has only the keys with several blocks, so it is small unless most keys are large."""
-    carried = carried.where("_blocks > 1").drop("_blocks")
-    few = carried.limit(FEW + 1).count() <= FEW
-    return rows.join(F.broadcast(carried) if few else carried, [key, "_block"], "left")
+    """rows with what their block carries on. carried is kept for the keys with several blocks only: written once, it is few rows unless most
+    keys are large, and is broadcast up to FEW of them."""
+    carried = written(carried.where("_blocks > 1").drop("_blocks"), "carried")
+    return rows.join(F.broadcast(carried) if carried.count() <= FEW else carried, [key, "_block"], "left")
 
 
 def running(df: DataFrame, key: str, order: str, block: int | None = BLOCK, **values: tuple[str, Column, bool]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from notebrook.functions import arrays as A
 from notebrook.operators import codegraph, ordered
-from notebrook.plans.codequeries import python_cells
+from notebrook.plans.codequeries import python_cells, python_places
 from notebrook.plans.corpus import SQL, cells, nested, notebooks
 from notebrook.plans.vectors import j15_nearest
 from notebrook.session import ensure_checkpoint_dir, table, written
@@ -85,8 +85,8 @@ def a18_repeatable_cells(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a08_cell_edges(spark: SparkSession, d: str) -> DataFrame:
-    code = written(python_cells(spark, d), "code")
-    links = codegraph.edges(codegraph.references(code), code.select("notebook_id", "cell_id", F.col("cell_id").alias("segment_id")))
+    groups = python_places(spark, d).select("notebook_id", "cell_id", F.col("cell_id").alias("segment_id"))
+    links = codegraph.edges(codegraph.references(python_cells(spark, d)), written(groups, "groups"))
     return links.select("notebook_id", "source", "target", F.array_join("names", ",").alias("names"))
 
 

@@ -10,14 +10,26 @@ from notebrook.operators import codegraph as G
 from notebrook.operators import ordered
 from notebrook.operators.relational import spread_join
 from notebrook.plans.corpus import cells, nested, notebooks
-from notebrook.session import table, written
+from notebrook.session import latest, table, written
+
+
+def _python_books(spark: SparkSession, d: str) -> DataFrame:
+    return notebooks(spark, d, "language").where("language = 'python'").select(F.col("_id").alias("notebook_id"))
 
 
 def python_cells(spark: SparkSession, d: str) -> DataFrame:
-    """notebook_id, cell_id, code of the code cells of Python notebooks."""
-    code = cells(spark, d, "notebook_id", "cell_id", "type", "content").where("type = 'code'").select("_id", "notebook_id", "cell_id", F.array_join("content", "\n").alias("code"))
-    books = notebooks(spark, d, "language").where("language = 'python'").select(F.col("_id").alias("notebook_id"))
-    return spread_join(code, books, "notebook_id", "_id").drop("_id")
+    """notebook_id, cell_id, code of the code cells of Python notebooks. They are dealt out over at least as many parts as there are cores when they
+    are deduplicated, for code takes long to parse however small it is."""
+    raw = table(spark, d, "cell").select("_id", "notebook_id", "cell_id", "type", F.when(F.col("type") == "code", F.array_join("content", "\n")).alias("code"), "loaded_at")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    code = latest(raw.repartition(parts, "_id"), ["_id"], "loaded_at").where("type = 'code'").select("_id", "notebook_id", "cell_id", "code")
+    return spread_join(code, _python_books(spark, d), "notebook_id", "_id", rows=table(spark, d, "notebook").count()).drop("_id")
+
+
+def python_places(spark: SparkSession, d: str) -> DataFrame:
+    """The same cells without their code: notebook_id, cell_id, pos and segment_id by gaps. Only slim columns are read."""
+    slim = spread_join(cells(spark, d, "notebook_id", "cell_id", "type"), _python_books(spark, d), "notebook_id", "_id", rows=table(spark, d, "notebook").count())
+    return ordered.gap_segments(slim).select("notebook_id", "cell_id", "pos", "segment_id")
 
 
 def bounded_cells(spark: SparkSession, d: str) -> DataFrame:
@@ -49,9 +61,8 @@ def t07_references(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _links(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    code = written(python_cells(spark, d), "code")
-    groups = written(ordered.gap_segments(code.withColumn("type", F.lit("code"))).select("notebook_id", "cell_id", "segment_id"), "groups")
-    return G.edges(G.references(code), groups), groups
+    groups = written(python_places(spark, d).drop("pos"), "groups")
+    return G.edges(G.references(python_cells(spark, d)), groups), groups
 
 
 def a07_segment_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -81,7 +92,7 @@ def j09_not_runnable(spark: SparkSession, d: str) -> DataFrame:
 def t44_single_order(spark: SparkSession, d: str) -> DataFrame:
     """The first execution order of every Python notebook, as positions among its code cells, in pages of a thousand triggers."""
     code = written(python_cells(spark, d), "code")
-    places = ordered.gap_segments(code.withColumn("type", F.lit("code"))).select("notebook_id", "cell_id", "pos")
+    places = python_places(spark, d).drop("segment_id")
     order = G.single_order(G.symbols(code), code).join(places, ["notebook_id", "cell_id"])
     pages = order.groupBy("notebook_id", F.floor(F.col("trigger") / 1000).alias("page")).agg(F.array_sort(F.collect_list(F.struct("trigger", "step", "pos"))).alias("x"))
     cells = code.select("notebook_id").distinct().join(pages, "notebook_id", "left")  # where nothing runs, the order is empty

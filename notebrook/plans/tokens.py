@@ -12,9 +12,9 @@ from notebrook.functions import code as C
 from notebrook.functions import spans as S
 from notebrook.operators import codegraph as G
 from notebrook.operators import ordered
-from notebrook.plans.codequeries import python_cells
+from notebrook.plans.codequeries import python_cells, python_places
 from notebrook.plans.corpus import SQL, cells, nested
-from notebrook.session import table, written
+from notebrook.session import table
 
 
 def _digest(parts) -> str:
@@ -90,10 +90,8 @@ def t33_attention(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    code = written(python_cells(spark, d), "code")
-    parts = G.per_cell(code, S.split_up, "part string, name string, text string, children int")
-    groups = ordered.gap_segments(code.withColumn("type", F.lit("code"))).select("notebook_id", "cell_id", "segment_id")
-    return parts, groups
+    parts = G.per_cell(python_cells(spark, d), S.split_up, "part string, name string, text string, children int")
+    return parts, python_places(spark, d).drop("pos")
 
 
 def t18_preprocessed(spark: SparkSession, d: str) -> DataFrame:
@@ -143,16 +141,13 @@ def f04_without_c_comments(spark: SparkSession, d: str) -> DataFrame:
 
 def f06_stripped_ends(spark: SparkSession, d: str) -> DataFrame:
     """Line ends of the segments once every cell is stripped of comments and docstrings."""
-    code = written(python_cells(spark, d), "code")
-
     def rows(text):
         bare = C.strip_comments(text)
         kept = text if bare is None else bare
         return [(len(kept.split("\n")) if kept else 0,)]
 
-    lines = G.per_cell(code, rows, "n int")
-    groups = ordered.gap_segments(code.withColumn("type", F.lit("code")))
-    sizes = lines.join(groups, ["notebook_id", "cell_id"]).groupBy("notebook_id", "segment_id").agg(F.sum("n").alias("n"))
+    lines = G.per_cell(python_cells(spark, d), rows, "n int")
+    sizes = lines.join(python_places(spark, d), ["notebook_id", "cell_id"]).groupBy("notebook_id", "segment_id").agg(F.sum("n").alias("n"))
     out = ordered.running(sizes, "notebook_id", "segment_id", end=("sum", F.col("n"), True))
     return out.select("notebook_id", "segment_id", (F.col("end") - 1).alias("line_end"))
 
