@@ -26,6 +26,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def dealt(df: DataFrame, *columns: str) -> DataFrame:
+    """The columns of a scanned frame; one of fewer parts than there are cores is dealt out over all of them, for work that takes long on
+    little data. A larger one is left where it is, so what is shuffled is bounded by the cores, not by the data."""
+    df, cores = df.select(*columns), df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def latest(df: DataFrame, keys: list[str], version: str) -> DataFrame:
     """One row per key, the one with the highest version; ties fall to the row with the larger remaining columns.
 
