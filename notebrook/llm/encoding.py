@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from notebrook.session import dealt
+
 CLASSES = 1024
 SUPPORT, LEAST_SUPPORT = 4e-5, 8
 #: Bits by which the corpus must prefer a restored run.
@@ -175,7 +177,7 @@ def pair_counts(documents: DataFrame, text_column: str = "text") -> DataFrame:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array((at // CLASSES).astype(np.int32)), pa.array((at % CLASSES).astype(np.int32)), pa.array(total[at])], names=["a", "b", "n"])
 
-    return documents.select(text_column).mapInArrow(run, "a int, b int, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return dealt(documents, text_column).mapInArrow(run, "a int, b int, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 class PairModel:
@@ -339,8 +341,9 @@ def damaged(run: str, before: str, after: str, model: PairModel) -> bool:
 def restore(text: str, model: PairModel, memory: dict) -> tuple[bool, str, list[str]]:
     """(garbled, text as far as it could be restored, mappings used). A text was mostly garbled in one way, so where several
     mappings would do, the one that explains most of the text is taken."""
-    garbled, used = False, set()
-    for _ in range(3):  # text may have been garbled more than once
+    garbled, used, seen = False, set(), set()
+    while text not in seen:  # text may have been garbled more than once; a text that comes again would go in circles
+        seen.add(text)
         plain, parts = outside_code(text), []
         for begin, end in improbable_runs(plain, model):
             key = (plain[max(0, begin - 1) : begin], text[begin:end], plain[end : end + 1])
@@ -399,7 +402,7 @@ def repaired(documents: DataFrame, text_column: str = "text") -> DataFrame:
             new = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.bool_(), pa.string(), pa.list_(pa.string())))]
             yield pa.RecordBatch.from_arrays([b.column(0), *new], names=["doc_id", "garbled", "restored", "mappings"])
 
-    return documents.select("doc_id", text_column).mapInArrow(run, f"doc_id {dict(documents.dtypes)['doc_id']}, garbled boolean, restored string, mappings array<string>")
+    return dealt(documents, "doc_id", text_column).mapInArrow(run, f"doc_id {dict(documents.dtypes)['doc_id']}, garbled boolean, restored string, mappings array<string>")
 
 
 def garbled_documents(documents: DataFrame) -> DataFrame:

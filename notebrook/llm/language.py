@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from notebrook.session import dealt
+
 LANGUAGES = ("en", "de", "fr", "es", "pt", "it", "nl", "pl", "tr", "ru", "zh", "ja", "ko")
 #: Labelled cells of the sample, lines of a language that the field is fitted on, and words of a line or part of a line.
 SAMPLE_CELLS, LINES_PER_LANGUAGE, TRAINING_WORDS = 5000, 200, 24
@@ -347,14 +349,14 @@ _NAMES = ("record_id", "piece_no", "lang", "confidence", "mixed", "label")
 
 
 def cell_languages(cells: DataFrame, field: LanguageField) -> DataFrame:
-    return piece_languages(cells.where("type = 'markdown'"), field, "content", "lang")
+    return piece_languages(dealt(cells, "_id", "type", "content", "lang").where("type = 'markdown'"), field, "content", "lang")
 
 
 def wrong_labels(cells: DataFrame, segments: DataFrame) -> DataFrame:
     """record_id, piece_no, lang of wrongly labelled cells and of the lines of mixed cells and segments."""
     field = fitted(cells)
     of_cells = cell_languages(cells, field).where("mixed or label is null or label != lang")
-    of_segments = piece_languages(segments, field, "prompts").where("mixed")
+    of_segments = piece_languages(dealt(segments, "_id", "prompts"), field, "prompts").where("mixed")
     return of_cells.unionByName(of_segments).select("record_id", "piece_no", "lang").distinct()
 
 

@@ -31,6 +31,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from notebrook.session import dealt
+
 RUN = 12
 SHINGLE = 5
 #: Chance that the least case shares no MinHash value, and the letters of test passages up to which their index is sent to the tasks.
@@ -163,7 +165,7 @@ def candidate_pairs(docs: DataFrame, tests: DataFrame) -> DataFrame:
 
 def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
     """item_id, doc_id, shared_runs, item_runs (runs of RUN words in common and in the passage)."""
-    docs = documents.select("doc_id", "text").where(F.col("text").isNotNull())
+    docs = dealt(documents, "doc_id", "text").where(F.col("text").isNotNull())
     tests = items.where("item_id is not null and passage is not null").select("item_id", "passage").distinct()
     if (tests.agg(F.sum(F.length("passage")).alias("n")).first()["n"] or 0) <= INDEX_LETTERS:
         rows = tests.collect()

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from notebrook.llm.language import LANGUAGES, LanguageField, fitted, forward_backward, line_words
 from notebrook.llm.syntax import with_language
-from notebrook.session import written
+from notebrook.session import dealt, written
 
 LEAST_WORDS, LEAST_CHARACTERS = 4, 8
 #: Share of a span's words that the language's lexicon must hold.
@@ -172,7 +172,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def spans(cells: DataFrame, notebooks: DataFrame) -> DataFrame:
     """notebook_number, cell_pk, k (number in the cell), span, n_bytes, hash: comments and literals that may hold running text."""
-    code = cells.where("type = 'code' and content is not null").withColumn("code", F.array_join("content", "\n"))
+    code = dealt(cells, "_id", "notebook_id", "type", "content").where("type = 'code' and content is not null").withColumn("code", F.array_join("content", "\n"))
     joined = with_language(code, notebooks, "code").select("notebook_number", "cell_pk", "language", "code")
     return joined.mapInArrow(_spans, "notebook_number bigint, cell_pk string, k int, span string, n_bytes bigint").withColumn("hash", F.md5("span"))
 

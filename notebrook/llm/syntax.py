@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from notebrook.llm.grammars import diagnose
 from notebrook.operators.relational import spread_join
+from notebrook.session import dealt
 
 def with_language(cells: DataFrame, notebooks: DataFrame, *columns: str) -> DataFrame:
     """Cells with their notebook's language, number and repository. One notebook may hold a third of all cells: see spread_join. The
@@ -45,7 +46,7 @@ def _diagnosed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def cell_syntax(cells: DataFrame, notebooks: DataFrame) -> DataFrame:
     """notebook_number, cell_pk, language, repository, valid, reason, accepted (the grammars that take the cell, best first) and
     parses_as (of an invalid cell, the best of them)."""
-    code = cells.where("type = 'code'").withColumn("code", F.coalesce(F.array_join("content", "\n"), F.lit("")))
+    code = dealt(cells, "_id", "notebook_id", "type", "content").where("type = 'code'").withColumn("code", F.coalesce(F.array_join("content", "\n"), F.lit("")))
     joined = with_language(code, notebooks, "code").select("notebook_number", "cell_pk", "language", "repository", "code")
     schema = "notebook_number bigint, cell_pk string, language string, repository string, valid boolean, reason string, accepted array<string>"
     found = joined.mapInArrow(_diagnosed, schema)

@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from notebrook.session import dealt
+
 #: The pre-token pattern that belongs to the vocabulary (fixed value).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct words kept by a Python worker before it starts a new trie; bounds memory, never changes a result.
@@ -151,7 +153,7 @@ def encode_corpus(documents: DataFrame, vocabulary: str, id_column: str = "doc_i
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), lists], names=[id_column, "ids"])
 
-    return documents.select(id_column, F.col(text_column)).mapInArrow(run, schema)
+    return dealt(documents, id_column, text_column).mapInArrow(run, schema)
 
 
 def corpus_tokens(documents: DataFrame, vocabulary: str) -> DataFrame:
