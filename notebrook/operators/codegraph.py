@@ -76,13 +76,15 @@ def density(links: DataFrame, groups: DataFrame) -> DataFrame:
     )
 
 
-def graph_json(links: DataFrame, groups: DataFrame) -> DataFrame:
-    """notebook_id, graph: nodes and links as JSON for a viewer."""
-    nodes = groups.select("notebook_id", "segment_id").distinct().groupBy("notebook_id").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("segment_id").alias("id"), F.concat(F.lit("Segment "), "segment_id").alias("label")))).alias("nodes")
-    )
-    arcs = links.groupBy("notebook_id").agg(F.array_sort(F.collect_list(F.struct("source", "target", F.array_join("names", ", ").alias("label")))).alias("links"))
-    return nodes.join(arcs, "notebook_id", "left").select("notebook_id", F.to_json(F.struct("nodes", F.coalesce("links", F.expr("array()").cast(dict(arcs.dtypes)["links"])).alias("links"))).alias("graph"))
+def graph_json(links: DataFrame, groups: DataFrame, page: int = 1000) -> DataFrame:
+    """notebook_id, page, graph: nodes and links as JSON for a viewer, in pages of ``page`` segment numbers (a link with its source), so that no row
+    grows with a notebook but by the links of its page."""
+    paged = lambda df, at: df.withColumn("page", F.floor(F.col(at) / page)).groupBy("notebook_id", "page")
+    node = F.struct(F.col("segment_id").alias("id"), F.concat(F.lit("Segment "), "segment_id").alias("label"))
+    nodes = paged(groups.select("notebook_id", "segment_id").distinct(), "segment_id").agg(F.array_sort(F.collect_list(node)).alias("nodes"))
+    arcs = paged(links, "source").agg(F.array_sort(F.collect_list(F.struct("source", "target", F.array_join("names", ", ").alias("label")))).alias("links"))
+    none = F.expr("array()").cast(dict(arcs.dtypes)["links"])
+    return nodes.join(arcs, ["notebook_id", "page"], "left").select("notebook_id", "page", F.to_json(F.struct("nodes", F.coalesce("links", none).alias("links"))).alias("graph"))
 
 
 def layers(edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -139,14 +141,14 @@ def execution_orders(makes: list[set], needs: list[set], most: int) -> list[list
     return orders
 
 
-def _books(symbol_rows: DataFrame, cells: DataFrame) -> DataFrame:
+def _books(symbol_rows: DataFrame, cells: DataFrame, *more: str) -> DataFrame:
     """notebook_id, x: the cells of a notebook in order with what they make and need."""
     lists = symbol_rows.groupBy("notebook_id", "cell_id").agg(
         F.collect_set(F.when(F.col("role") == "makes", F.concat_ws(":", "name", "space"))).alias("makes"),
         F.collect_set(F.when(F.col("role") == "needs", F.concat_ws(":", "name", "space"))).alias("needs"),
     )
-    every = cells.select("notebook_id", "cell_id").join(lists, ["notebook_id", "cell_id"], "left")
-    return every.groupBy("notebook_id").agg(F.array_sort(F.collect_list(F.struct("cell_id", "makes", "needs"))).alias("x"))
+    every = cells.select("notebook_id", "cell_id", *more).join(lists, ["notebook_id", "cell_id"], "left")
+    return every.groupBy("notebook_id").agg(F.array_sort(F.collect_list(F.struct("cell_id", "makes", "needs", *more))).alias("x"))
 
 
 def order_rows(symbol_rows: DataFrame, cells: DataFrame, most: int = 1) -> DataFrame:
@@ -303,14 +305,102 @@ def api_matches(name: Column, pattern: str) -> Column:
     return F.forall(F.zip_with(F.slice(parts, F.lit(1), n), F.slice(wanted, F.lit(1), n), lambda a, b: (b == "*") | (a == b)), lambda x: x)
 
 
+def api_calls(cells: DataFrame) -> DataFrame:
+    """notebook_id, cell_id, call, api: every call through an imported name of the notebook, and its fully qualified name."""
+    used = per_cell(cells, lambda code: [(c, c.split(".")[0]) for c in C.calls(code)], "call string, root string").distinct()
+    known = per_cell(cells, C.imports, "root string, full_name string").select("notebook_id", "root", "full_name").distinct()
+    return used.join(known, ["notebook_id", "root"]).select("notebook_id", "cell_id", "call", F.concat("full_name", F.expr("substr(call, length(root) + 1)")).alias("api")).distinct()
+
+
+def _needed(api: Column) -> Column:
+    return F.coalesce(*[F.when(api_matches(api, p) & (api != seed), F.lit(seed)) for p, seed in RANDOM_APIS.items()])
+
+
 def random_risk(cells: DataFrame) -> DataFrame:
     """notebook_id, needed, seeded: random functions in use, by the seed call they need, and whether that call is made."""
-    used = per_cell(cells, lambda code: [(c, c.split(".")[0]) for c in C.calls(code)], "call string, root string").select("notebook_id", "call", "root").distinct()
-    known = per_cell(cells, C.imports, "root string, full_name string").select("notebook_id", "root", "full_name").distinct()
-    full = used.join(known, ["notebook_id", "root"]).select("notebook_id", F.concat("full_name", F.expr("substr(call, length(root) + 1)")).alias("api")).distinct()
-    needed = F.coalesce(*[F.when(api_matches(F.col("api"), p) & (F.col("api") != seed), F.lit(seed)) for p, seed in RANDOM_APIS.items()])
+    full = api_calls(cells).select("notebook_id", "api").distinct()
     seeds = full.where(F.col("api").isin(*set(RANDOM_APIS.values()))).select("notebook_id", F.col("api").alias("needed"), F.lit(True).alias("seeded"))
-    return full.select("notebook_id", needed.alias("needed")).where("needed is not null").distinct().join(seeds, ["notebook_id", "needed"], "left").fillna(False)
+    return full.select("notebook_id", _needed(F.col("api")).alias("needed")).where("needed is not null").distinct().join(seeds, ["notebook_id", "needed"], "left").fillna(False)
+
+
+def random_fixes(cells: DataFrame) -> DataFrame:
+    """notebook_id, cell_id, call, fix: for every call of a random function the lines that make it repeatable."""
+    found = api_calls(cells).withColumn("needed", _needed(F.col("api"))).where("needed is not null")
+    module = F.concat(F.lit("import "), F.substring_index("needed", ".", 1))
+    return found.select("notebook_id", "cell_id", "call", F.array(module, F.concat("needed", F.lit("(100)"))).alias("fix"))
+
+
+#: Steps, beside ten for each cell, after which a search for recorded orders that has found none is given up as unsettled: it is exponential in the runs without a cell.
+STEPS = 100_000
+
+
+def recorded_orders(makes: list[set], needs: list[set], counts: list[int | None], most: int, steps: int | None = None) -> list[list[int]] | None:
+    """Orders in which the cells can have been run, given the number of each one's last run: the run of that number is its own, runs that no cell
+    has as its last were of cells that ran again later, the next to run again first. Every cell finds what it needs made before it or by itself. At
+    most ``most``, or those found within ``steps``; None if none is found within them and it is not certain that there is none."""
+    last = {n: i for i, n in enumerate(counts) if n}
+    steps = STEPS + 10 * len(counts) if steps is None else steps
+    numbers = sorted(last)
+    length = numbers[-1] if numbers else 0
+    free = next((at for at in range(1, length + 1) if at not in last), length + 1)
+    sure, later = set(), set().union(*(makes[i] for n, i in last.items() if n > free))
+    for n in numbers:  # what no cell can have made in time rules out every order
+        sure |= makes[last[n]]
+        if not needs[last[n]] <= (sure if n < free else sure | later):
+            return []
+    orders: list[list[int]] = []
+    path: list[int] = []
+    have: dict[str, int] = {}
+    tried = [0]
+    while tried and len(orders) < most:
+        at = len(path) + 1
+        if at > length:
+            orders.append(list(path))
+        begin, k = bisect_right(numbers, at), tried[-1]
+        size = 0 if at > length else 1 if at in last else len(numbers) - begin
+        cell = lambda j: last[at] if at in last else last[numbers[begin + j]]  # noqa: B023, E731
+        while k < size and not all(have.get(x) or x in makes[cell(k)] for x in needs[cell(k)]):
+            k, steps = k + 1, steps - 1
+        steps -= 1
+        if steps < 0:
+            return orders or None
+        if k < size:
+            tried[-1] = k + 1
+            path.append(cell(k))
+            for x in makes[path[-1]]:
+                have[x] = have.get(x, 0) + 1
+            tried.append(0)
+        else:
+            tried.pop()
+            if path:
+                for x in makes[path.pop()]:
+                    have[x] -= 1
+    return orders
+
+
+def recorded_order_counts(symbol_rows: DataFrame, counts: DataFrame, most: int) -> DataFrame:
+    """notebook_id, orders (up to most; null: unsettled), runs: orders that agree with the recorded numbers. counts has notebook_id, cell_id, count
+    (null: not run). One notebook is one group; the search is exponential but for its bounds."""
+
+    @F.udf("struct<orders bigint, runs bigint>", useArrow=True)
+    def run(x):
+        found = recorded_orders([set(c["makes"] or ()) for c in x], [set(c["needs"] or ()) for c in x], [c["count"] for c in x], most)
+        return (None if found is None else len(found)), max((c["count"] or 0 for c in x), default=0)
+
+    return _books(symbol_rows, counts, "count").select("notebook_id", run("x").alias("n")).select("notebook_id", "n.orders", "n.runs")
+
+
+def executable(symbol_rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """notebook_id, strategy, executable: whether every cell finds its names when the cells run from top to bottom (normal), or in the order of
+    what they make and need (dependency)."""
+    cells = cells.select("notebook_id", "cell_id").distinct()
+    symbol_rows = written(symbol_rows, "symbols")
+    books = cells.groupBy("notebook_id").agg(F.count("*").alias("n"))
+    stuck = runnable_top_down(symbol_rows).select("notebook_id", F.lit(False).alias("runs")).distinct()
+    ordered = single_order(symbol_rows, cells).groupBy("notebook_id").agg(F.count("*").alias("placed"))
+    normal = books.join(stuck, "notebook_id", "left").select("notebook_id", F.lit("normal").alias("strategy"), F.coalesce("runs", F.lit(True)).alias("executable"))
+    by_need = books.join(ordered, "notebook_id", "left").select("notebook_id", F.lit("dependency").alias("strategy"), (F.coalesce("placed", F.lit(0)) == F.col("n")).alias("executable"))
+    return normal.unionByName(by_need)
 
 
 def edit_distance(links_a: dict, n_a: int, links_b: dict, n_b: int, budget: int = 2_000) -> float | None:

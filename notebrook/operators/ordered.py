@@ -29,16 +29,16 @@ def _continued(rows: DataFrame, key: str, carried: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(carried) if carried.count() <= FEW else carried, [key, "_block"], "left")
 
 
-def running(df: DataFrame, key: str, order: str, block: int | None = BLOCK, **values: tuple[str, Column, bool]) -> DataFrame:
+def running(df: DataFrame, key: str, *order: str, block: int | None = BLOCK, **values: tuple[str, Column, bool]) -> DataFrame:
     """Running sums and maxima along ``order`` (whole numbers, unique per key). values: name → (sum or max, column, whether the
-    row itself counts). Blocks are ``block`` numbers wide; None where the numbers have wide gaps: blocks are then ranges of about equally
-    many rows, whatever the numbers."""
-    df = df.where(F.col(key).isNotNull() & F.col(order).isNotNull())
+    row itself counts). Blocks are ``block`` numbers wide. None where the numbers have wide gaps, or where the order is one of several columns,
+    unique together: blocks are then ranges of about equally many rows, whatever the values."""
+    df = df.where(F.col(key).isNotNull())
     if block is None:
-        df = written(df.repartitionByRange(key, order).withColumn("_block", F.spark_partition_id()), "ranges")
+        df = written(df.repartitionByRange(key, *order).withColumn("_block", F.spark_partition_id()), "ranges")
     else:
-        df = df.withColumn("_block", F.floor(F.col(order) / block))
-    inside = Window.partitionBy(key, "_block").orderBy(order)
+        df = df.where(F.col(order[0]).isNotNull()).withColumn("_block", F.floor(F.col(order[0]) / block))
+    inside = Window.partitionBy(key, "_block").orderBy(*order)
     kept = df.columns
     for name, (kind, column, own) in values.items():
         frame = inside.rowsBetween(Window.unboundedPreceding, 0 if own else -1)
@@ -54,6 +54,17 @@ def running(df: DataFrame, key: str, order: str, block: int | None = BLOCK, **va
     return df.select(*[c for c in kept if c != "_block"], *[_COMBINE[kind][1](F.col(f"_before_{name}"), F.col(name)).alias(name) for name, (kind, _, _) in values.items()])
 
 
+def moving_average(df: DataFrame, key: str, order: list[str], column: str, size: int, name: str) -> DataFrame:
+    """Mean of a row's value and those of the ``size - 1`` rows before it along ``order`` (unique per key). Rows are numbered, cut into blocks, and the last
+    of each block also shown to the next."""
+    rows = running(df, key, *order, block=None, _rank=("sum", F.lit(1), False)).withColumn("_rank", F.coalesce("_rank", F.lit(0)))
+    block, at = F.floor(F.col("_rank") / BLOCK), F.col("_rank") % BLOCK
+    seen = F.when(at > BLOCK - size, F.array(block, block + 1)).otherwise(F.array(block))
+    window = Window.partitionBy(key, "_block").orderBy("_rank").rowsBetween(1 - size, 0)
+    spread = rows.withColumn("_own", block).withColumn("_block", F.explode(seen)).withColumn(name, F.avg(column).over(window))
+    return spread.where("_block = _own").drop("_own", "_block", "_rank")
+
+
 def _opened(df: DataFrame, key: str, order: str, mark: Column, opens: Callable[[Column, Column], Column]) -> DataFrame:
     """df with segment_id, _rank (0-based, equal for equal ``order``), _prior (the last mark of the rows before) and _opens (whether the row
     opens its segment). Marks rise along ``order``; opens(prior, mark) says whether a segment starts at a marked row."""

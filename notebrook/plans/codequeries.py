@@ -106,6 +106,26 @@ def t44_all_orders(spark: SparkSession, d: str) -> DataFrame:
     return G.order_counts(G.symbols(code), code, 200)
 
 
+def t45_recorded_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Orders of every Python notebook that agree with recorded run numbers, up to the cap of 200: the number of a cell in the notebook stands for
+    that of its last run, so a stretch of text between code cells is as many runs of cells that ran again later."""
+    counts = python_places(spark, d).select("notebook_id", "cell_id", (F.col("cell_id") + 1).alias("count"))
+    return G.recorded_order_counts(G.symbols(python_cells(spark, d)), counts, 200)
+
+
+def a25_executable(spark: SparkSession, d: str) -> DataFrame:
+    return G.executable(G.symbols(python_cells(spark, d)), python_places(spark, d))
+
+
+def j13_full_names(spark: SparkSession, d: str) -> DataFrame:
+    """Functions in use by their fully qualified names."""
+    return G.api_calls(python_cells(spark, d)).groupBy("api").agg(F.count_distinct("notebook_id").alias("notebooks"), F.count("*").alias("cells"))
+
+
+def t49_random_fixes(spark: SparkSession, d: str) -> DataFrame:
+    return G.random_fixes(python_cells(spark, d)).select("notebook_id", "cell_id", "call", F.array_join("fix", "\n").alias("fix"))
+
+
 def t48_random_risk(spark: SparkSession, d: str) -> DataFrame:
     return G.random_risk(python_cells(spark, d))
 
@@ -160,7 +180,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         t01_statements, f03_stripped_lines, t07_references, a07_segment_edges, a09_density, s38_graph_json, t38_symbols, j09_not_runnable,
-        t44_single_order, t44_all_orders, t48_random_risk, t15_functions, t17_imports, t20_tree_shape, t23_dataflow, t13_edit_distance, t34_layers,
+        t44_single_order, t44_all_orders, t45_recorded_orders, a25_executable, j13_full_names, t48_random_risk, t49_random_fixes, t15_functions, t17_imports, t20_tree_shape, t23_dataflow, t13_edit_distance, t34_layers,
     )
 }
 

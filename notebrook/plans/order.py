@@ -9,7 +9,6 @@ from notebrook.functions import arrays as A
 from notebrook.operators import ordered
 from notebrook.plans.corpus import SQL, cells, nested
 from notebrook.session import latest, table
-from pyspark.sql.window import Window
 
 
 def w01_prompted(spark: SparkSession, d: str) -> DataFrame:
@@ -87,8 +86,8 @@ def w17_exponential_labels(spark: SparkSession, d: str) -> DataFrame:
 def w18_recorded_order(spark: SparkSession, d: str) -> DataFrame:
     """Events of a user in the order of their recorded counter, ties by arrival."""
     ev = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
-    rank = F.row_number().over(Window.partitionBy("user_id").orderBy("k", "ts", "event_id"))
-    return ev.select("event_id", "user_id", "k", rank.alias("turn"))
+    ranked = ordered.running(ev.select("event_id", "user_id", "k", "ts"), "user_id", "k", "ts", "event_id", block=None, turn=("sum", F.lit(1), True))
+    return ranked.select("event_id", "user_id", "k", F.col("turn").cast("int").alias("turn"))
 
 
 def w20_bigrams(spark: SparkSession, d: str) -> DataFrame:
@@ -99,8 +98,8 @@ def w20_bigrams(spark: SparkSession, d: str) -> DataFrame:
 
 
 def w21_moving_average(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-4, 0)
-    return table(spark, d, "events").select("event_id", F.round(F.avg("value").over(w), 6).alias("mean_of_5"))
+    out = ordered.moving_average(table(spark, d, "events").select("event_id", "user_id", "ts", "value"), "user_id", ["ts", "event_id"], "value", 5, "mean")
+    return out.select("event_id", F.round("mean", 6).alias("mean_of_5"))
 
 
 QUERIES = {

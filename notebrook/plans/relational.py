@@ -66,7 +66,7 @@ def u01_union(spark: SparkSession, d: str) -> DataFrame:
 
 
 def u03_except(spark: SparkSession, d: str) -> DataFrame:
-    """Parsed records that the earlier load does not hold in the same form, as bags."""
+    """Nested notebooks beyond those that were measured, by number and source, as bags: what stands more often on the left stays."""
     new = table(spark, d, "notebooksegments").select("notebook_id", "dataset")
     old = table(spark, d, "profile").select("notebook_id", "dataset")
     return new.exceptAll(old)

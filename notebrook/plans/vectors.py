@@ -170,6 +170,10 @@ SELECT doc_id, (i - 1)::INT AS block, length(x[i]) AS chars FROM b, unnest(range
     "f14_blocks_at_comments": SQL + """l AS (SELECT _id, i, content[i] AS x FROM cells, unnest(range(1, len(content) + 1)) AS t(i) WHERE type = 'code'),
 f AS (SELECT _id, count(*) FILTER (starts_with(x, '#')) AS marks, min(i) FILTER (starts_with(x, '#')) AS first, min(i) FILTER (x <> '') AS filled FROM l GROUP BY 1)
 SELECT c._id, CASE WHEN filled IS NULL THEN 0 WHEN first IS NULL THEN 1 WHEN first = filled THEN marks ELSE marks + 1 END AS blocks FROM cells c LEFT JOIN f ON c._id = f._id WHERE type = 'code' AND content IS NOT NULL""",
+    "f16_prompts": SQL + f"""s AS (SELECT _id, list_transform(segments, lambda s: array_to_string(flatten(list_transform(list_filter(s.cells, lambda c: c.type = 'code'), lambda c: c.content)), chr(10))) AS code FROM nested WHERE segments IS NOT NULL),
+p AS (SELECT _id, '{P.TASK}' || chr(10) || chr(10) || 'Example:' || chr(10) || CASE WHEN len(code) > 0 THEN 'Stage 1:' || chr(10) || '```python' || chr(10) || code[1] || chr(10) || '```' ELSE '' END || chr(10) || chr(10)
+  || 'Notebook:' || chr(10) || '```python' || chr(10) || array_to_string(code, chr(10)) || chr(10) || '```' || chr(10) || chr(10) || '{P.THINK}' AS t FROM s)
+SELECT DISTINCT _id, length(t) AS chars, md5(t) AS digest FROM p""",
     "f01_document_lines": r"""WITH l AS (SELECT doc_id, string_split_regex(text, '\r\n|\r|\n') AS l FROM documents WHERE text IS NOT NULL AND text <> '')
 SELECT doc_id, len(l) AS lines, len(list_filter(l, lambda x: trim(x, ' ') <> '')) AS filled FROM l""",
     "f44_previews": SQL + "p AS (SELECT _id, array_to_string(content, ' ') AS t FROM cells WHERE content IS NOT NULL) SELECT _id, CASE WHEN length(t) > 80 THEN t[1:80] || '...' ELSE t END AS preview FROM p",
