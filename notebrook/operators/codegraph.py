@@ -403,9 +403,9 @@ def executable(symbol_rows: DataFrame, cells: DataFrame) -> DataFrame:
     return normal.unionByName(by_need)
 
 
-def edit_distance(links_a: dict, n_a: int, links_b: dict, n_b: int, budget: int = 2_000) -> float | None:
-    """Least number of node and edge edits between two digraphs whose nodes are all alike and whose edges are alike if their
-    labels are. Depth-first with bounds; None if the budget of expansions ends before an answer is certain."""
+def edit_distance(links_a: dict, n_a: int, links_b: dict, n_b: int, budget: int = 2_000) -> tuple[float, bool]:
+    """(least number of node and edge edits between two digraphs whose nodes are all alike and whose edges are alike if their labels are, whether it
+    is certain). Depth-first with bounds; if the budget of expansions ends before, the best found so far, an upper bound."""
     if n_a > n_b:
         links_a, n_a, links_b, n_b = links_b, n_b, links_a, n_a
     best, left = [float(n_a + n_b + len(links_a) + len(links_b))], [budget]
@@ -446,4 +446,5 @@ def edit_distance(links_a: dict, n_a: int, links_b: dict, n_b: int, budget: int
         used.append(j)
         return cost
 
-    return best[0] if extend(0, 0.0) else None
+    certain = extend(0, 0.0)
+    return best[0], certain

@@ -150,7 +150,8 @@ def t23_dataflow(spark: SparkSession, d: str) -> DataFrame:
 
 
 def t13_edit_distance(spark: SparkSession, d: str) -> DataFrame:
-    """Distance between the data-flow graph of the gap segments and the one with a segment per cell, per candidate notebook."""
+    """Distance between the data-flow graph of the gap segments and the one with a segment per cell, per candidate notebook, and whether it is
+    certain: else it is the best found within the budget, as with the reference's time limit."""
     code = written(bounded_cells(spark, d), "bounded")
     refs = written(G.references(code), "references")
     gaps = ordered.gap_segments(code.withColumn("type", F.lit("code"))).select("notebook_id", "cell_id", "pos", "segment_id")
@@ -160,12 +161,13 @@ def t13_edit_distance(spark: SparkSession, d: str) -> DataFrame:
         links = G.edges(refs, groups).groupBy("notebook_id").agg(F.collect_list(F.struct("source", "target", F.array_join("names", ",").alias("label"))).alias(f"links_{name}"))
         graphs.append(nodes.join(links, "notebook_id", "left"))
 
-    @F.udf("double", useArrow=True)
+    @F.udf("struct<distance double, certain boolean>", useArrow=True)
     def distance(links_a, n_a, links_b, n_b):
         as_map = lambda x: {(e["source"], e["target"]): e["label"] for e in x or ()}
         return G.edit_distance(as_map(links_a), n_a, as_map(links_b), n_b)
 
-    return graphs[0].join(graphs[1], "notebook_id").select("notebook_id", "n_a", "n_b", distance("links_a", "n_a", "links_b", "n_b").alias("distance"))
+    found = graphs[0].join(graphs[1], "notebook_id").select("notebook_id", "n_a", "n_b", distance("links_a", "n_a", "links_b", "n_b").alias("d"))
+    return found.select("notebook_id", "n_a", "n_b", "d.distance", "d.certain")
 
 
 def t34_layers(spark: SparkSession, d: str) -> DataFrame:
