@@ -67,17 +67,22 @@ def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def lowest(df: DataFrame, keys: list[str], order: list[str], n: int, salts: int = 64) -> DataFrame:
+    """The n lowest rows of each group along ``order`` (unique within it). A group is cut by a hash first and each part keeps its n lowest, so that no
+    task ranks more than a part of a large group."""
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    for by in ([*keys, "_salt"], keys):
+        salted = salted.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_rank") <= n).drop("_rank")
+    return salted.drop("_salt")
+
+
 def borrowed(books: DataFrame, most: int, columns: int) -> DataFrame:
     """x, y, from_x, notebook_id: for each bin (x, y), x below ``columns``, the ``most`` lowest notebooks with different ends; a bin that is
     short goes on with what is left of (x + 1, y), then of the next, before those are filled themselves. books has
     notebook_id, x, y, ends."""
     once = books.groupBy("x", "y", "ends").agg(F.min("notebook_id").alias("notebook_id"))
     # a bin gives to at most ``columns`` bins, each of which takes ``most`` and passes over fewer than ``most``: the lowest are enough
-    enough, salt = most * (columns + 1), F.pmod(F.xxhash64("ends"), F.lit(16)).alias("salt")
-    for keys in (["x", "y", "salt"], ["x", "y"]):
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("notebook_id", "ends"))
-        once = once.select("*", salt) if "salt" in keys else once
-        once = once.withColumn("r", rank).where(F.col("r") <= enough).drop("r", "salt")
+    once = lowest(once, ["x", "y"], ["notebook_id", "ends"], most * (columns + 1))
 
     def fill(rows: pd.DataFrame) -> pd.DataFrame:
         left = {x: list(zip(g["notebook_id"], g["ends"])) for x, g in rows.sort_values(["notebook_id", "ends"]).groupby("x")}

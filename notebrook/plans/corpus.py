@@ -2,26 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from notebrook.session import latest, table
 
 
-def cells(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    """The latest delivery of each cell, only the named columns."""
+def cells(spark: SparkSession, d: str, *columns: str | Column) -> DataFrame:
+    """The latest delivery of each cell, only these columns. Make numbers and flags of text here, so that the text is not shuffled."""
     return latest(table(spark, d, "cell").select("_id", *columns, "loaded_at"), ["_id"], "loaded_at").drop("loaded_at")
 
 
-def notebooks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+def notebooks(spark: SparkSession, d: str, *columns: str | Column) -> DataFrame:
     return latest(table(spark, d, "notebook").select("_id", *columns, "loaded_at"), ["_id"], "loaded_at").drop("loaded_at")
 
 
-def segments(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+def segments(spark: SparkSession, d: str, *columns: str | Column) -> DataFrame:
     """Repeated rows are equal."""
     return table(spark, d, "segment").select("_id", *columns).distinct()
 
 
-def nested(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+def nested(spark: SparkSession, d: str, *columns: str | Column) -> DataFrame:
     """notebooksegments; repeated rows are equal in the columns that queries use."""
     return table(spark, d, "notebooksegments").select("_id", *columns).distinct()
 

@@ -48,10 +48,10 @@ def w07_running_ends(spark: SparkSession, d: str) -> DataFrame:
 
 
 def w08_ends_from_nested(spark: SparkSession, d: str) -> DataFrame:
-    """Cell ends straight from the nested notebooks, without a shuffle."""
+    """Cell ends straight from the nested notebooks; only the ends are deduplicated."""
     code = F.transform(F.filter("segments", lambda s: s["has_code"]), lambda s: F.size(F.filter(s["cells"], lambda c: c["type"] == "code")))
     ends = A.sizes_to_ends(code)
-    return nested(spark, d, "segments").where("segments is not null").select("_id", F.array_join(ends.cast("array<string>"), ",").alias("ends"))
+    return table(spark, d, "notebooksegments").where("segments is not null").select("_id", F.array_join(ends.cast("array<string>"), ",").alias("ends")).distinct()
 
 
 def w11_resegmented(spark: SparkSession, d: str) -> DataFrame:

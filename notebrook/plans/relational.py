@@ -206,8 +206,7 @@ def o06_stratified(spark: SparkSession, d: str) -> DataFrame:
     books = nested(spark, d, "notebook_id", "segment_ends", "n_ast_children_of_segments").where("segment_ends is not null and n_ast_children_of_segments between 1 and 256")
     books = books.withColumn("x", F.floor((F.col("n_ast_children_of_segments") - 1) / 32)).withColumn("y", F.least(F.lit(7), F.floor(F.size("segment_ends") / 4)))
     once = books.groupBy("x", "y", F.array_join(F.col("segment_ends").cast("array<string>"), ",").alias("ends")).agg(F.min("notebook_id").alias("notebook_id"))
-    rank = F.row_number().over(Window.partitionBy("x", "y").orderBy("notebook_id"))
-    return once.withColumn("r", rank).where("r <= 16").select("x", "y", "notebook_id")
+    return R.lowest(once, ["x", "y"], ["notebook_id", "ends"], 16).select("x", "y", "notebook_id")
 
 
 def o06_borrowed(spark: SparkSession, d: str) -> DataFrame:
@@ -219,8 +218,8 @@ def o06_borrowed(spark: SparkSession, d: str) -> DataFrame:
 
 def a11_size_grid(spark: SparkSession, d: str) -> DataFrame:
     """Counts by statements (rows) and segments (columns)."""
-    books = nested(spark, d, "segments", "n_ast_children_of_segments").where("segments is not null and n_ast_children_of_segments between 1 and 256")
-    books = books.select(F.floor((F.col("n_ast_children_of_segments") - 1) / 32).alias("x"), F.least(F.lit(3), F.floor(F.size("segments") / 4)).cast("int").alias("y"))
+    books = nested(spark, d, F.size("segments").alias("n"), "n_ast_children_of_segments").where("n >= 0 and n_ast_children_of_segments between 1 and 256")
+    books = books.select(F.floor((F.col("n_ast_children_of_segments") - 1) / 32).alias("x"), F.least(F.lit(3), F.floor(F.col("n") / 4)).cast("int").alias("y"))
     grid = books.groupBy("x").pivot("y", [0, 1, 2, 3]).count()
     return grid.select("x", *[F.coalesce(F.col(str(i)), F.lit(0)).alias(f"y{i}") for i in range(4)])
 

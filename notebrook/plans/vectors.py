@@ -58,8 +58,8 @@ def f11_fenced_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def f14_blocks_at_comments(spark: SparkSession, d: str) -> DataFrame:
-    code = cells(spark, d, "type", "content").where("type = 'code' and content is not null")
-    return code.select("_id", F.size(A.split_at_comments(F.col("content"))).cast("bigint").alias("blocks"))
+    blocks = F.when((F.col("type") == "code") & F.col("content").isNotNull(), F.size(A.split_at_comments(F.col("content"))).cast("bigint"))
+    return cells(spark, d, blocks.alias("blocks")).where("blocks is not null")
 
 
 def f16_prompts(spark: SparkSession, d: str) -> DataFrame:
@@ -77,7 +77,7 @@ def f01_document_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def f44_previews(spark: SparkSession, d: str) -> DataFrame:
-    return cells(spark, d, "content").where("content is not null").select("_id", A.preview(F.col("content")).alias("preview"))
+    return cells(spark, d, A.preview(F.col("content")).alias("preview")).where("preview is not null")
 
 
 def f34_model_size(spark: SparkSession, d: str) -> DataFrame:
@@ -131,6 +131,13 @@ def st_latest_profile(spark: SparkSession, d: str) -> DataFrame:
     return p.select(*keys, "n_ast_children", "st_time")
 
 
+def st_first_deliveries(spark: SparkSession, d: str) -> DataFrame:
+    """Notebooks as they are delivered, each once, by a stream that forgets keys after the delay; per language."""
+    schema = table(spark, d, "notebook").schema
+    first = ingest.first_deliveries(spark, f"{d}/notebook.parquet*", schema, ["_id"], "loaded_at", "365 days")
+    return first.groupBy("language").agg(F.count("*").alias("n"), F.min("notebook_id").alias("first"))
+
+
 def s31_notebook_files(spark: SparkSession, d: str) -> DataFrame:
     """Selected notebooks written as files, a page of cells each, and read again: cells and lines of each."""
     chosen = notebooks(spark, d, "notebook_id", "selected").where("selected").select(F.col("_id").alias("notebook_id"), F.col("notebook_id").alias("name"))
@@ -151,7 +158,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         f20_binary_round_trip, f24_padded, a10_metrics, f11_response_segments, f11_fenced_blocks, f14_blocks_at_comments, f16_prompts, f01_document_lines,
-        f44_previews, f34_model_size, j15_nearest, s29_new_vectors, f33_scaled, m04_tree_models, m18_regression, st_window_counts, st_latest_profile,
+        f44_previews, f34_model_size, j15_nearest, s29_new_vectors, f33_scaled, m04_tree_models, m18_regression, st_window_counts, st_latest_profile, st_first_deliveries,
         s31_notebook_files, s20_delete_and_recount,
     )
 }
@@ -184,6 +191,7 @@ SELECT query, row_number() OVER (PARTITION BY query ORDER BY x, neighbour) AS ra
     "f33_scaled": """SELECT notebook_id, dataset, method, model, measured_at, round((n_ast_children - avg(n_ast_children) OVER ()) / stddev_pop(n_ast_children) OVER (), 6) AS z, (method = 'fewshot')::INT AS is_fewshot, (method = 'tree')::INT AS is_tree FROM profile WHERE n_ast_children IS NOT NULL""",
     "st_window_counts": "SELECT date_trunc('day', ts)::TIMESTAMP AS starts, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "st_latest_profile": "SELECT notebook_id, dataset, method, model, n_ast_children, st_time FROM profile QUALIFY row_number() OVER (PARTITION BY notebook_id, dataset, method, model ORDER BY measured_at DESC, n_ast_children DESC) = 1",
+    "st_first_deliveries": SQL + "x AS (SELECT 1) SELECT language, count(*) AS n, min(notebook_id) AS first FROM books GROUP BY 1",
     "s31_notebook_files": SQL + """c AS (SELECT b.notebook_id, k.content FROM books b JOIN cells k ON b._id = k.notebook_id WHERE selected)
 SELECT notebook_id, count(*) AS n_cells, sum(CASE WHEN coalesce(array_to_string(content, chr(10)), '') = '' THEN 0 ELSE len(content) END)::BIGINT AS n_lines FROM c GROUP BY 1""",
     "s20_delete_and_recount": SQL + "x AS (SELECT 1) SELECT type, count(*) AS n FROM cells WHERE notebook_id NOT IN (SELECT _id FROM books WHERE user_name = 'autolog') GROUP BY 1",

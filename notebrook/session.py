@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,7 +21,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     executors would not share it, an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if spark.sparkContext.getCheckpointDir() is None:
-        if not configured and not spark.sparkContext.master.startswith("local"):
+        if not configured and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-"))
     return spark.sparkContext.getCheckpointDir()

@@ -44,6 +44,13 @@ def latest_rows(spark: SparkSession, source: str, schema, keys: list[str], versi
     return _settled(spark.readStream.schema(schema).parquet(source), "append", base, keys, version)
 
 
+def first_deliveries(spark: SparkSession, source: str, schema, keys: list[str], event_time: str, delay: str = "30 days") -> DataFrame:
+    """The rows of a stream, each key once, as ``deduplicated`` lets them through."""
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(schema).parquet(source).withColumn(event_time, F.col(event_time).cast("timestamp"))
+    return _settled(deduplicated(stream, keys, event_time, delay), "append", base, keys, None)
+
+
 def deduplicated(stream: DataFrame, keys: list[str], event_time: str, delay: str) -> DataFrame:
     """First deliveries only; state older than the delay is dropped."""
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
