@@ -190,6 +190,13 @@ def without_c_comments(text: Column) -> Column:
     return F.array_join(F.filter(F.split(spaced, "\n"), lambda x: x.rlike(r"\S")), "\n")
 
 
+def flattened(nested: Column, levels: int) -> Column:
+    """An array of arrays, ``levels`` deep, as one array; null arrays inside count as empty."""
+    for _ in range(levels):
+        nested = F.flatten(F.filter(nested, lambda x: x.isNotNull()))
+    return nested
+
+
 def valid_rows(ranges: list[Column], columns: list[Column]) -> Column:
     """Whether all ranges hold or no column is null; an unknown range does not hold."""
     holds, whole = F.lit(True), F.lit(True)

@@ -62,6 +62,15 @@ def updated(df: DataFrame, changes: DataFrame, keys: list[str], column: str) ->
     return df.join(changes.select(*keys, F.col(column).alias("_new")), keys, "left").withColumn(column, F.coalesce("_new", column)).drop("_new")
 
 
+def write_missing(df: DataFrame, path: str, key: str) -> None:
+    """Appends the folders of ``key`` that are not there yet; which are there is known from their names alone."""
+    spark = df.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        df = df.join(spark.read.parquet(path).select(F.col(key).cast(dict(df.dtypes)[key])).distinct(), key, "left_anti")
+    df.repartition(key).write.mode("append").partitionBy(key).parquet(path)
+
+
 def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that occur more than once, with how often."""
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")

@@ -74,6 +74,15 @@ def a09_density(spark: SparkSession, d: str) -> DataFrame:
     return G.density(*_links(spark, d))
 
 
+def a22_graph_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes, links and different names on links of every notebook's data-flow graph."""
+    links, groups = _links(spark, d)
+    nodes = groups.groupBy("notebook_id").agg(F.count_distinct("segment_id").alias("nodes"))
+    named = links.select("notebook_id", "source", "target", F.explode("names").alias("name")).groupBy("notebook_id")
+    named = named.agg(F.count_distinct("source", "target").alias("links"), F.count_distinct("name").alias("names"))
+    return nodes.join(named, "notebook_id", "left").fillna(0)
+
+
 def s38_graph_json(spark: SparkSession, d: str) -> DataFrame:
     return G.graph_json(*_links(spark, d))
 
@@ -181,7 +190,7 @@ def t34_layers(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        t01_statements, f03_stripped_lines, t07_references, a07_segment_edges, a09_density, s38_graph_json, t38_symbols, j09_not_runnable,
+        t01_statements, f03_stripped_lines, t07_references, a07_segment_edges, a09_density, a22_graph_counts, s38_graph_json, t38_symbols, j09_not_runnable,
         t44_single_order, t44_all_orders, t45_recorded_orders, a25_executable, j13_full_names, t48_random_risk, t49_random_fixes, t15_functions, t17_imports, t20_tree_shape, t23_dataflow, t13_edit_distance, t34_layers,
     )
 }

@@ -124,6 +124,14 @@ def s25_merged_chunks(spark: SparkSession, d: str) -> DataFrame:
     return back.select("notebook_id", number).groupBy("name").agg(F.count("*").alias("n"), F.min("notebook_id").alias("first")).orderBy("name")
 
 
+def s24_resumed_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunk folders written by a run that stopped half way and by one that goes on: what is there already is neither written nor doubled."""
+    path, chunks = _folder(spark, "resumed"), _chunks(spark, d)
+    R.write_missing(chunks.where("chunk % 2 = 0"), path, "chunk")
+    R.write_missing(chunks, path, "chunk")
+    return spark.read.parquet(path).groupBy(F.col("chunk").cast("bigint").alias("chunk")).agg(F.count("*").alias("n"))
+
+
 def p16_valid_rows(spark: SparkSession, d: str) -> DataFrame:
     """The measurements with a mask: in range, or without nulls."""
     p = table(spark, d, "profile")
@@ -180,7 +188,7 @@ def f38_repaired(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        s04_tagged_csv, s27_responses, s28_latencies, s45_predictions, s33_clone_pairs, s13_written_segments, s12_replaced_segments, a23_eda_per_chunk, s25_merged_chunks,
+        s04_tagged_csv, s27_responses, s28_latencies, s45_predictions, s33_clone_pairs, s13_written_segments, s12_replaced_segments, a23_eda_per_chunk, s25_merged_chunks, s24_resumed_chunks,
         p16_valid_rows, f36_output_texts, p10_run_cells, f38_repaired,
     )
 }
@@ -200,6 +208,7 @@ SELECT a.doc_id AS a, b.doc_id AS b, (a.kind = b.kind)::INT AS label, a.n::INT A
     "s12_replaced_segments": SQL + """anew AS (SELECT DISTINCT notebook_id, segment_id FROM headed WHERE notebook_id IN (SELECT _id FROM books WHERE language = 'python'))
 SELECT notebook_id, FALSE AS fresh, count(*) AS n FROM parts WHERE notebook_id NOT IN (SELECT notebook_id FROM anew) GROUP BY 1 UNION ALL SELECT notebook_id, TRUE, count(*) FROM anew GROUP BY 1""",
     "a23_eda_per_chunk": SQL + _RANKED + " SELECT chunk, count(*) AS n, count(*) FILTER (is_eda) AS eda FROM r GROUP BY 1",
+    "s24_resumed_chunks": SQL + _RANKED + " SELECT chunk, count(*) AS n FROM r GROUP BY 1",
     "s25_merged_chunks": SQL + _RANKED + " SELECT chunk::VARCHAR AS name, count(*) AS n, min(notebook_id) AS first FROM r GROUP BY 1",
     "p16_valid_rows": """SELECT notebook_id, dataset, method, model, measured_at, (coalesce(n_ast_children BETWEEN 1 AND 256, FALSE) AND coalesce(st_time BETWEEN 0 AND 1, FALSE)) OR (n_ast_children IS NOT NULL AND repr_time IS NOT NULL AND st_time IS NOT NULL) AS valid FROM profile""",
     "f36_output_texts": SQL + "x AS (SELECT notebook_id AS name, length(coalesce(content[1], '')) * CASE WHEN cell_id % 2 = 0 THEN 2 ELSE 1 END AS n FROM cells WHERE type = 'code') SELECT name, count(*) AS cells, sum(n)::BIGINT AS letters FROM x GROUP BY 1",

@@ -10,7 +10,7 @@ from notebrook.functions import arrays as A
 from notebrook.operators import relational as R
 from notebrook.operators.ordered import has_heading, running
 from notebrook.plans.corpus import SQL, cells, nested, notebooks, segments
-from notebrook.session import table
+from notebrook.session import latest, table
 
 
 def s05_notebook_scan(spark: SparkSession, d: str) -> DataFrame:
@@ -293,6 +293,36 @@ def f32_date_features(spark: SparkSession, d: str) -> DataFrame:
     return b.select("notebook_id", F.weekday("created_at").alias("weekday"), F.hour("created_at").alias("hour"), F.date_format("created_at", "yyyy-MM-dd").alias("day"))
 
 
+def s06_point_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """One notebook by its key, the lowest selected number, with its cells in pages; the key is pushed down to the scan of the cells."""
+    key = table(spark, d, "notebook").where("selected").agg(F.min(F.struct("notebook_id", "_id"))["_id"].alias("k")).first()["k"]
+    book = notebooks(spark, d, "notebook_id").where(F.col("_id") == key).withColumnRenamed("_id", "book")
+    mine = table(spark, d, "cell").where(F.col("notebook_id") == key).select("_id", F.col("notebook_id").alias("book"), "cell_id", "type", "loaded_at")
+    pages = R.paged(book, latest(mine, ["_id"], "loaded_at").drop("loaded_at"), "book", "cell_id", "cells")
+    return pages.select("notebook_id", "page", F.size("cells").cast("bigint").alias("n_cells"), F.md5(F.array_join(F.transform("cells", lambda c: c["_id"]), ",")).alias("cells"))
+
+
+def s10_bulk_insert(spark: SparkSession, d: str) -> DataFrame:
+    """Code records as cells of new notebooks: each gets the key of its notebook and its place in it, from 0."""
+    _, kids = R.ingest(table(spark, d, "code"), table(spark, d, "notebook").where("is_eda").select("notebook_id"))
+    placed = running(kids, "notebook_id", "cell_id", block=None, place=("sum", F.lit(1), False))
+    return placed.select("notebook_id", F.coalesce("place", F.lit(0)).cast("int").alias("cell_id"), F.size("content").alias("lines"))
+
+
+def p01_code_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of the code records, one row each; equal rows of the load count once."""
+    once = table(spark, d, "code").where("source is not null").select("kernel_id", "cell_id", "source").distinct()
+    lines = once.select("kernel_id", "cell_id", F.md5("source").alias("record"), F.posexplode(F.split("source", "\n")).alias("line_no", "line"))
+    return lines.select("kernel_id", "cell_id", "record", "line_no", F.length("line").alias("letters"))
+
+
+def f30_flattened(spark: SparkSession, d: str) -> DataFrame:
+    """All lines of a nested notebook in one list, segments and cells undone."""
+    lines = A.flattened(F.transform("segments", lambda s: F.transform(s["cells"], lambda c: c["content"])), 2)
+    books = table(spark, d, "notebooksegments").where("segments is not null")
+    return books.select("_id", F.size(lines).cast("bigint").alias("lines"), F.md5(F.array_join(lines, "\n")).alias("digest")).distinct()
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -300,12 +330,21 @@ QUERIES = {
         s20_cascade_delete, s21_repeated_keys, s11_ingest, s14_refresh_flags, a03_line_counts, a05_statement_sums, a01_records, p03_candidates,
         p02_numeric_keys, p06_eda_by_imports, p08_line_filter, p11_outliers, p13_clean_ends, p17_not_english, p18_with_heading, p24_uses_pandas,
         o04_page, o05_split, o06_stratified, o06_borrowed, a11_size_grid, a13_latency, a14_latency_bins, a16_macro_f1, a17_line_agreement, y17_first_difference,
-        a20_histogram, a21_melt, a19_distinct_kernels, s47_missing_keys, f32_date_features,
+        a20_histogram, a21_melt, a19_distinct_kernels, s47_missing_keys, f32_date_features, s06_point_lookup, s10_bulk_insert, p01_code_lines, f30_flattened,
     )
 }
 
 ORACLE_SQL = {
     "s05_notebook_scan": SQL + "x AS (SELECT 1) SELECT notebook_id, language FROM books WHERE prompted AND selected AND language = 'python'",
+    "s06_point_lookup": SQL + """k AS (SELECT _id, notebook_id FROM books WHERE _id = (SELECT arg_min(_id, notebook_id) FROM notebook WHERE selected))
+SELECT k.notebook_id, (cell_id // 1000)::BIGINT AS page, count(*) AS n_cells, md5(string_agg(c._id, ',' ORDER BY cell_id)) AS cells FROM k JOIN cells c ON c.notebook_id = k._id GROUP BY 1, 2""",
+    "s10_bulk_insert": r"""WITH f AS (SELECT * FROM code WHERE kernel_id NOT IN (SELECT notebook_id FROM notebook WHERE is_eda) AND source IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY kernel_id, cell_id ORDER BY loaded_at DESC, source DESC) = 1)
+SELECT kernel_id AS notebook_id, (row_number() OVER (PARTITION BY kernel_id ORDER BY cell_id) - 1)::INT AS cell_id, (length(source) - length(replace(source, chr(10), '')) + 1)::INT AS lines FROM f""",
+    "p01_code_lines": """WITH o AS (SELECT DISTINCT kernel_id, cell_id, source, string_split(source, chr(10)) AS l FROM code WHERE source IS NOT NULL)
+SELECT kernel_id, cell_id, md5(source) AS record, (i - 1)::INT AS line_no, length(l[i])::INT AS letters FROM o, unnest(range(1, len(l) + 1)) AS t(i)""",
+    "f30_flattened": SQL + """l AS (SELECT _id, flatten(flatten(list_transform(segments, lambda s: list_transform(s.cells, lambda c: c.content)))) AS l FROM nested WHERE segments IS NOT NULL)
+SELECT _id, len(l) AS lines, md5(array_to_string(l, chr(10))) AS digest FROM l""",
     "j01_nested_cells": SQL + """k AS (SELECT notebook_id AS book, cell_id // 1000 AS page, count(*) AS n, string_agg(type[1], '' ORDER BY cell_id) AS shape FROM cells GROUP BY 1, 2)
 SELECT b.notebook_id, coalesce(page, 0)::BIGINT AS page, coalesce(n, 0) AS n_cells, coalesce(shape, '') AS shape FROM books b LEFT JOIN k ON b._id = k.book""",
     "j02_materialised_segments": SQL + """b AS (SELECT notebook_id, unnest(segments) AS s FROM books), p AS (SELECT b.notebook_id, segment_id, has_code, CASE WHEN len(p.cells) > 0 THEN p.cells ELSE [NULL] END AS c FROM b JOIN parts p ON b.s = p._id),

@@ -89,6 +89,14 @@ def t33_attention(spark: SparkSession, d: str) -> DataFrame:
     return G.per_cell(python_cells(spark, d), rows, "rectangles int, entries int")
 
 
+def t56_pair_features(spark: SparkSession, d: str) -> DataFrame:
+    """Inputs of a model of pairs: every Python cell beside the first one of its notebook, words and nodes of both."""
+    found = t32_features(spark, d).drop("digest")
+    first = found.groupBy("notebook_id").agg(F.min(F.struct("cell_id", "words", "nodes")).alias("f"))
+    pairs = found.join(first, "notebook_id").where("cell_id != f.cell_id")
+    return pairs.select("notebook_id", F.col("f.cell_id").alias("a"), F.col("cell_id").alias("b"), F.col("f.words").alias("words_a"), F.col("words").alias("words_b"), F.col("f.nodes").alias("nodes_a"), F.col("nodes").alias("nodes_b"))
+
+
 def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     parts = G.per_cell(python_cells(spark, d), S.split_up, "part string, name string, text string, children int")
     return parts, python_places(spark, d).drop("pos")
@@ -175,7 +183,7 @@ def f40_missing_modules(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        t03_leaf_spans, t53_leaf_spans_without_comments, t04_variable_spans, f07_span_texts, f09_character_spans, t05_travelled, t31_connected_flow, t32_features, t33_attention,
+        t03_leaf_spans, t53_leaf_spans_without_comments, t04_variable_spans, f07_span_texts, f09_character_spans, t05_travelled, t31_connected_flow, t32_features, t33_attention, t56_pair_features,
         t18_preprocessed, t21_tree_ends, t36_shallow_input, f42_renamed, f43_identifiers, f04_without_c_comments, f06_stripped_ends, p25_import_lines, f40_missing_modules,
     )
 }

@@ -106,7 +106,7 @@ def loaded(raw: DataFrame) -> DataFrame:
 
 
 #: Lines that one task assembles, and the lines that a record may have at most: a field that is not closed within them is never closed.
-BLOCK_LINES, RECORD_LINES = 65_536, 4_096
+BLOCK_LINES, RECORD_LINES = 32_768, 4_096
 #: A line that begins like a record: two short first fields, one of them a number, quoted or not. A broken record ends before the next such line.
 _NUMERAL, _SHORT, _OTHER = (rf'\s*"?\s*{x}\s*"?\s*' for x in (r"[0-9]+(?:\.0+)?", r"[\w.+-]{0,24}", r'[^",()\[\]{}=]{0,24}'))
 _BEGINS = re.compile(f"{_NUMERAL},{_OTHER},|{_SHORT},{_NUMERAL},|{_NUMERAL},{_NUMERAL}$")

@@ -222,7 +222,7 @@ def brute_records(lines, most):
     return out
 
 
-@pytest.mark.parametrize("block, most", [(65_536, 4_096), (7, 5), (3, 3)])
+@pytest.mark.parametrize("block, most", [(32_768, 4_096), (7, 5), (3, 3)])
 def test_assembly_over_block_borders(spark, monkeypatch, block, most):
     monkeypatch.setattr(records, "BLOCK_LINES", block)
     monkeypatch.setattr(records, "RECORD_LINES", most)
