@@ -409,14 +409,25 @@ def edit_distance(links_a: dict, n_a: int, links_b: dict, n_b: int, budget: int
     if n_a > n_b:
         links_a, n_a, links_b, n_b = links_b, n_b, links_a, n_a
     best, left = [float(n_a + n_b + len(links_a) + len(links_b))], [budget]
-    used: list[int] = []
+    used: list[int] = []  # the node of b that each node of a so far stands for, -1 for none
+    where: dict[int, int] = {}
+    beside: list[dict[int, list[tuple[int, bool]]]] = [{}, {}]
+    for near, links in zip(beside, (links_a, links_b)):
+        for x, y in links:
+            near.setdefault(x, []).append((y, True))
+            near.setdefault(y, []).append((x, False))
 
     def added(i: int, j: int) -> int:
+        """Links of i and j to the nodes in use that differ."""
         cost = 0
-        for k, m in enumerate(used):
-            for a, b in (((k, i), (m, j)), ((i, k), (j, m))):
-                x, y = links_a.get(a), links_b.get(b) if j >= 0 and m >= 0 else None
-                cost += x != y
+        for k, out in beside[0].get(i, ()):
+            if k < i:
+                m = used[k]
+                other = links_b.get((j, m) if out else (m, j)) if j >= 0 and m >= 0 else None
+                cost += links_a[(i, k) if out else (k, i)] != other
+        for m, out in beside[1].get(j, ()):
+            k = where.get(m)
+            cost += k is not None and ((i, k) if out else (k, i)) not in links_a
         return cost
 
     def extend(i: int, cost: float) -> bool:
@@ -426,25 +437,21 @@ def edit_distance(links_a: dict, n_a: int, links_b: dict, n_b: int, budget: int
         if cost >= best[0]:
             return True
         if i == n_a:
-            rest = [j for j in range(n_b) if j not in used]
-            outside = sum(1 for (a, b) in links_b if a in rest or b in rest)
+            rest = [j for j in range(n_b) if j not in where]
+            outside = sum(1 for (a, b) in links_b if a not in where or b not in where)
             best[0] = min(best[0], cost + len(rest) + outside)
             return True
-        options = [j for j in range(n_b) if j not in used]
-        for j in sorted(options, key=lambda j: (added(i, j), abs(i - j))) + [-1]:
+        options = sorted((added(i, j), abs(i - j), j) for j in range(n_b) if j not in where)
+        for step, _, j in [*options, (added(i, -1) + 1, 0, -1)]:
             used.append(j)
-            step = added_without(i, j)
-            ok = extend(i + 1, cost + step + (j < 0))
+            if j >= 0:
+                where[j] = i
+            ok = extend(i + 1, cost + step)
             used.pop()
+            where.pop(j, None)
             if not ok:
                 return False
         return True
 
-    def added_without(i: int, j: int) -> int:
-        used.pop()
-        cost = added(i, j)
-        used.append(j)
-        return cost
-
     certain = extend(0, 0.0)
     return best[0], certain

@@ -154,6 +154,33 @@ def test_spread_join_keeps_every_row(spark, monkeypatch, few, lots):
     assert relational.spread_join(many.limit(0), rows, "k", "id").count() == 0
 
 
+def test_a_hot_key_is_spread_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(relational, "FEW", 0)
+    monkeypatch.setattr(relational, "SALT_ROWS", 100)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        many = spark.range(3000).selectExpr("case when id % 3 = 0 then 'hot' else concat('k', id) end as k", "id")
+        joined = relational.spread_join(many, many.select("k").distinct().withColumn("v", F.lit(1)), "k", "id")
+        parts = [r["count"] for r in joined.where("k = 'hot'").groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(parts) == 1000 and len(parts) > 2 and max(parts) < 600
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_lowest_rows_of_groups(spark):
+    rng = random.Random(9)
+    rows = [("hot" if i % 3 else f"g{i % 7}", rng.randint(0, 10**6), i) for i in range(600)]
+    got = sorted((r.g, r.v, r.i) for r in relational.lowest(spark.createDataFrame(rows, "g string, v int, i int"), ["g"], ["v", "i"], 5).collect())
+    assert got == sorted(x for g in {r[0] for r in rows} for x in sorted(r for r in rows if r[0] == g)[:5])
+
+
+def test_folders_that_are_there_are_not_written_again(spark, tmp_path):
+    df = spark.range(10).selectExpr("id", "id % 3 as part")
+    for some in (df.where("part = 1"), df, df):
+        relational.write_missing(some, str(tmp_path / "w"), "part")
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "w")).collect()) == list(range(10))
+
+
 def test_moving_average_over_blocks(spark, monkeypatch):
     monkeypatch.setattr(ordered, "BLOCK", 6)
     rng = random.Random(4)
