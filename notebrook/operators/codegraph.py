@@ -7,6 +7,7 @@ task. Cells that do not parse have no rows."""
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
+from collections import Counter
 from collections.abc import Callable, Iterator
 from heapq import heappop, heappush
 
@@ -403,7 +404,7 @@ def executable(symbol_rows: DataFrame, cells: DataFrame) -> DataFrame:
     return normal.unionByName(by_need)
 
 
-def edit_distance(links_a: dict, n_a: int, links_b: dict, n_b: int, budget: int = 2_000) -> tuple[float, bool]:
+def edit_distance(links_a: dict, n_a: int, links_b: dict, n_b: int, budget: int = 20_000) -> tuple[float, bool]:
     """(least number of node and edge edits between two digraphs whose nodes are all alike and whose edges are alike if their labels are, whether it
     is certain). Depth-first with bounds; if the budget of expansions ends before, the best found so far, an upper bound."""
     if n_a > n_b:
@@ -430,11 +431,18 @@ def edit_distance(links_a: dict, n_a: int, links_b: dict, n_b: int, budget: int
             cost += k is not None and ((i, k) if out else (k, i)) not in links_a
         return cost
 
+    labels_a = [Counter(label for ends, label in links_a.items() if max(ends) >= i) for i in range(n_a + 1)]
+
+    def at_least(i: int) -> int:
+        """What is left must cost this much: nodes of b beyond those of a, and labels that the open links of one side have too many of."""
+        open_b = Counter(label for (x, y), label in links_b.items() if x not in where or y not in where)
+        return n_b - len(where) - (n_a - i) + max((labels_a[i] - open_b).total(), (open_b - labels_a[i]).total())
+
     def extend(i: int, cost: float) -> bool:
         if left[0] <= 0:
             return False
         left[0] -= 1
-        if cost >= best[0]:
+        if cost >= best[0] or cost + at_least(i) >= best[0]:
             return True
         if i == n_a:
             rest = [j for j in range(n_b) if j not in where]
