@@ -37,10 +37,10 @@ def s04_tagged_csv(spark: SparkSession, d: str) -> DataFrame:
 
 
 def s27_responses(spark: SparkSession, d: str) -> DataFrame:
-    """Responses in JSON files of a hundred, named by a number, read back in the order of that number and joined with the recorded ends by it."""
+    """Responses in JSON files of five thousand numbers, named by their part of them, read back in the order of that number and joined with the recorded ends by it."""
     path = _folder(spark, "responses")
     docs = table(spark, d, "documents").where("kind = 'response' and text is not null and doc_id is not null").select("doc_id", "notebook_id", "text")
-    docs.withColumn("file", F.floor(F.col("doc_id") / 100)).repartition("file").write.partitionBy("file").json(path)
+    docs.withColumn("file", F.floor(F.col("doc_id") / 5000)).repartition("file").write.partitionBy("file").json(path)
     number = F.regexp_extract("_metadata.file_path", r"file=(\d+)/", 1).cast("bigint").alias("number")
     found = spark.read.schema("doc_id bigint, notebook_id bigint, text string").json(f"{path}/*").select(number, "doc_id", "notebook_id", F.length("text").alias("letters"))
     truth = nested(spark, d, "notebook_id", "segment_ends").groupBy("notebook_id").agg(F.max(F.coalesce(F.size("segment_ends"), F.lit(-1))).alias("ends"))
@@ -198,7 +198,7 @@ _LINES = lambda lines: "[" + ", ".join("'" + x + "'" for x in lines) + "]"  # no
 ORACLE_SQL = {
     "s04_tagged_csv": SQL + "x AS (SELECT notebook_id, cell_id, type AS cell_type, array_to_string(content, chr(10)) AS s FROM cells WHERE type IN ('code', 'markdown')) SELECT notebook_id, cell_id, cell_type, length(s)::INT AS letters FROM x WHERE s <> ''",
     "s27_responses": SQL + """t AS (SELECT notebook_id, max(len(segment_ends)) AS ends FROM nested GROUP BY 1)
-SELECT doc_id // 100 AS number, doc_id, length(text)::INT AS letters, ends::INT AS ends FROM documents d LEFT JOIN t ON d.notebook_id = t.notebook_id WHERE kind = 'response' AND text IS NOT NULL""",
+SELECT doc_id // 5000 AS number, doc_id, length(text)::INT AS letters, ends::INT AS ends FROM documents d LEFT JOIN t ON d.notebook_id = t.notebook_id WHERE kind = 'response' AND text IS NOT NULL""",
     "s28_latencies": "SELECT dataset, n_ast_children // 32 AS bin, count(*) AS n, round(avg(st_time), 6) AS mean FROM profile WHERE dataset IN ('distilkaggle', 'gh17') AND n_ast_children IS NOT NULL AND st_time IS NOT NULL AND NOT isnan(st_time) GROUP BY ALL",
     "s45_predictions": """WITH b AS (SELECT DISTINCT notebook_id, n_ast_children AS n FROM profile WHERE n_ast_children IS NOT NULL AND model = (SELECT min(model) FROM profile))
 SELECT notebook_id, greatest(n, 0)::INT AS positions, (greatest(n, 0) // 5)::INT AS ends FROM b""",
